@@ -18,6 +18,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -273,8 +274,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int
 
 
 def _with_node(docs: DataFrame) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("long")
     def node_of(text: pd.Series) -> pd.Series:
         pw, out = Powers(), []
