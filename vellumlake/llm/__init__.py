@@ -7,7 +7,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import omh, scratch, substrings, textvec
+from . import omh, quality, scratch, substrings, textvec, wumanber
 
-for _m in (textvec, substrings, omh, scratch):
+for _m in (textvec, substrings, omh, scratch, quality, wumanber):
     cloudpickle.register_pickle_by_value(sys.modules[_m.__name__])

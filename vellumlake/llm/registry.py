@@ -4,24 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import omh, substrings
+from . import omh, quality, substrings, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_forest(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
 def op4_order_minhash(spark, sf_dir):
     return omh.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark, sf_dir):
+    return wumanber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_repeated_spans(spark, sf_dir):
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_order_minhash, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op1_quality_forest, op4_order_minhash, op8_benchmark_leaks, op10_repeated_spans)}
 
 SQL = {
+    "op8_benchmark_leaks": r"""
+WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[\x00-/:-@\[-`{-\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) >= 5),
+p AS (SELECT DISTINCT item_id, ' ' || array_to_string(w[k:k + 9], ' ') || ' ' AS pattern FROM i),
+d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[\x00-/:-@\[-`{-\x7f]+', ' ', 'g')) || ' ' AS t FROM documents)
+SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS windows FROM d JOIN p ON contains(t, pattern) GROUP BY doc_id, item_id
+""",
     "op10_repeated_spans": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS a FROM documents),
 p AS (SELECT doc_id, a, unnest(range(0, greatest(len(a) - 49, 0))) AS pos FROM w),
