@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import omh, quality, substrings, wumanber
+from . import merkle, omh, packing, quality, substrings, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,23 @@ def op4_order_minhash(spark, sf_dir):
     return omh.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def faulty_replica(pages: DataFrame) -> DataFrame:
+    """The replica that op5 audits: pages of second listings have lost their last character on .org hosts, and are lost on .net hosts."""
+    second = F.coalesce(F.col("url").contains("?page=2"), F.lit(False))
+    cut = second & F.col("url").contains(".org/")
+    html = F.when(cut, F.expr("substr(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    return pages.where(~(second & F.col("url").contains(".net/"))).withColumn("html", html)
+
+
+def op5_merkle_audit(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return merkle.audit(pages, faulty_replica(pages))
+
+
+def op7_column_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_leaks(spark, sf_dir):
     return wumanber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,9 +45,18 @@ def op10_repeated_spans(spark, sf_dir):
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_forest, op4_order_minhash, op8_benchmark_leaks, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op1_quality_forest, op4_order_minhash, op5_merkle_audit, op7_column_packing, op8_benchmark_leaks, op10_repeated_spans)}
 
 SQL = {
+    "op5_merkle_audit": r"""
+WITH r AS (SELECT page_id, url, html, url LIKE '%?page=2%' AND url LIKE '%.org/%' AS cut, url LIKE '%?page=2%' AND url LIKE '%.net/%' AS gone FROM pages),
+s AS (SELECT *, 54 + octet_length(encode(CAST(page_id AS VARCHAR))) + 21 + octet_length(encode(url)) AS head, CASE WHEN cut THEN substr(html, 1, length(html) - 1) ELSE html END AS other FROM r),
+t AS (SELECT page_id, cut, gone, octet_length(encode(html)) AS la, octet_length(encode(other)) AS lb, head FROM s),
+u AS (SELECT page_id, cut, gone, head + length(CAST(la AS VARCHAR)) + la + 26 AS bytes_a, CASE WHEN NOT gone THEN head + length(CAST(lb AS VARCHAR)) + lb + 26 END AS bytes_b FROM t),
+v AS (SELECT *, sum(bytes_a) OVER w - bytes_a AS offset_a, sum(bytes_b) OVER w - bytes_b AS offset_b FROM u WINDOW w AS (ORDER BY page_id ROWS UNBOUNDED PRECEDING))
+SELECT page_id, CASE WHEN gone THEN 'missing' ELSE 'changed' END AS fault, CAST(offset_a AS BIGINT) AS offset_a, CAST(bytes_a AS BIGINT) AS bytes_a, CAST(offset_b AS BIGINT) AS offset_b, CAST(bytes_b AS BIGINT) AS bytes_b
+FROM v WHERE cut OR gone
+""",
     "op8_benchmark_leaks": r"""
 WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[\x00-/:-@\[-`{-\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
 i AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) >= 5),
