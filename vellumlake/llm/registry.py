@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, omh, packing, quality, substrings, wumanber
+from . import merkle, omh, packing, pii, quality, substrings, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_forest(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
 
 
+def op2_bootstrapped_pii(spark, sf_dir):
+    return pii.extracted(table(spark, sf_dir, "documents"))
+
+
 def op4_order_minhash(spark, sf_dir):
     return omh.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_repeated_spans(spark, sf_dir):
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_forest, op4_order_minhash, op5_merkle_audit, op7_column_packing, op8_benchmark_leaks, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op1_quality_forest, op2_bootstrapped_pii, op4_order_minhash, op5_merkle_audit, op7_column_packing, op8_benchmark_leaks, op10_repeated_spans)}
 
 SQL = {
     "op5_merkle_audit": r"""
