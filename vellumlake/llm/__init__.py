@@ -7,7 +7,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import merkle, omh, packing, pii, quality, scratch, substrings, textvec, wumanber
+from . import htmlscore, lblm, merkle, omh, packing, pii, quality, scratch, substrings, textvec, tokentree, wumanber
 
-for _m in (textvec, substrings, omh, scratch, quality, wumanber, merkle, packing, pii):
+for _m in (textvec, substrings, omh, scratch, quality, wumanber, merkle, packing, pii, htmlscore, lblm, tokentree):
     cloudpickle.register_pickle_by_value(sys.modules[_m.__name__])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, written
+from .scratch import cut, free_name, written
 from .textvec import NORM, Powers, grams, inside, mix, slices, words
 
 K = 3
@@ -257,23 +257,26 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int
     sigs, labels = near_groups(docs, similarity, k, sketches)
     rows = sigs.where("node is not null").select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    key, node, mine = (free_name(docs, x) for x in ("__id", "__node", "__node_of"))
     kept = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.node").alias("node"))
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id")
-    plain = kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(F.col("doc_id").alias("__id"))
-    odd = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").select(F.col("node").alias("__node"))
-    wordless = sigs.where("node is null").select(F.col("doc_id").alias("__id"))
-    wordless = wordless.where("__id is not null").join(repeated.select(F.col("doc_id").alias("__id")), "__id", "left_anti")
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(key))
+    once = repeated.where(F.col(key).isNotNull())
+    plain = kept.where("doc_id is not null").select(F.col("doc_id").alias(key)).join(once, key, "left_anti")
+    odd = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").select(F.col("node").alias(node))
+    wordless = sigs.where("node is null and doc_id is not null").select(F.col("doc_id").alias(key)).join(rows.select(F.col("doc_id").alias(key)), key, "left_anti")
     id_ = F.col("doc_id").cast("long")
-    stay = docs.join(plain.union(wordless), id_ == F.col("__id"), "left_semi")
-    # rows whose id is null or repeated are told apart by their text
-    again = docs.join(repeated.select(F.col("doc_id").alias("__id")), id_.eqNullSafe(F.col("__id")), "left_semi")
-    hashed = _with_node(again)
-    one = hashed.where("__node_of is not null").join(odd, F.col("__node_of") == F.col("__node"), "left_semi").dropDuplicates(["__node_of"])
-    none = hashed.where("__node_of is null")
-    return stay.unionByName(one.drop("__node_of")).unionByName(none.drop("__node_of"))
-
-
-def _with_node(docs: DataFrame) -> DataFrame:
+    stay = docs.join(plain.union(wordless), id_ == F.col(key), "left_semi")
+    # rows whose id is null, or is another row's too, are told apart by their text
+    shared = sigs.where("node is null").select(F.col("doc_id").alias(key)).join(rows.select(F.col("doc_id").alias(key)), key, "left_semi")
+    again = docs.join(repeated.union(shared).union(sigs.where("doc_id is null").select(F.col("doc_id").alias(key))).distinct(), id_.eqNullSafe(F.col(key)), "left_semi")
+    hashed = _with_node(again, mine)
+    mixed = plain.join(shared, key, "left_semi")  # already in `stay`, together with their wordless namesakes
+    one = hashed.where(F.col(mine).isNotNull()).join(odd, F.col(mine) == F.col(node), "left_semi").dropDuplicates([mine])
+    none = hashed.where(F.col(mine).isNull()).join(mixed, id_.eqNullSafe(F.col(key)), "left_anti")
+    return stay.unionByName(one.drop(mine)).unionByName(none.drop(mine))
+
+
+def _with_node(docs: DataFrame, name: str) -> DataFrame:
     @F.pandas_udf("long")
     def node_of(text: pd.Series) -> pd.Series:
         pw, out = Powers(), []
@@ -283,4 +286,4 @@ def _with_node(docs: DataFrame) -> DataFrame:
         got = np.concatenate(out) if out else np.zeros(0, np.uint64)
         return pd.Series(got.view(np.int64)).astype("Int64").mask(pd.Series(got == 0))
 
-    return docs.withColumn("__node_of", node_of(F.lower(F.col("text").cast("string"))))
+    return docs.withColumn(name, node_of(F.lower(F.col("text").cast("string"))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, written
+from .scratch import cut, free_name, written
 
 ROUNDS = 4
 PATTERN_CONFIDENCE = 0.8
@@ -172,13 +172,13 @@ def _redact(text: str, spans) -> str:
     return "".join(out) + text[last:]
 
 
-def _masker(shared):
+def _masker(shared, name: str = ""):
     def run(batches):
         known = shared.value if shared else None
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            given = batch.column(batch.schema.get_field_index("__spans")).to_pylist() if known is None else None
+            given = batch.column(batch.schema.get_field_index(name)).to_pylist() if known is None else None
             for r, text in enumerate(texts):
                 if not text:
                     continue
@@ -189,7 +189,7 @@ def _masker(shared):
                 if spans := [x for x in spans if x[2]]:
                     texts[r] = _redact(text, spans)
             new = pa.array(texts, pa.string())
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__spans"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n != name]
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in keep], [batch.schema.names[i] for i in keep])
 
     return run
@@ -213,9 +213,10 @@ def masked(docs: DataFrame, rounds: int = ROUNDS, confidence: float = PATTERN_CO
         at = found.select("text_key", "start", "end", "kind", F.explode("patterns").alias("pattern")).join(strong, "pattern", "left")
         kinds = at.groupBy("text_key", "start", "end", "kind").agg(F.max(F.struct("confidence", "as_kind")).alias("best"))
         kinds = kinds.select("text_key", "start", "end", F.coalesce("best.as_kind", "kind").alias("kind")).where("kind <> ''")
-        spans = kinds.groupBy(F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("__spans"))
-        joined = docs.withColumn("__key", F.xxhash64("text")).join(spans, "__key", "left").drop("__key")
-        out = joined.mapInArrow(_masker(None), docs.schema)
+        key, name = free_name(docs, "__key"), free_name(docs, "__spans")
+        spans = kinds.groupBy(F.col("text_key").alias(key)).agg(F.collect_set(F.struct("start", "end", "kind")).alias(name))
+        joined = docs.withColumn(key, F.xxhash64("text")).join(spans, key, "left").drop(key)
+        out = joined.mapInArrow(_masker(None, name), docs.schema)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

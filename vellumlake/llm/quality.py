@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name
 from .textvec import PLAIN, Powers, grams, inside, mix, slices, words
 
 TREES = 200
@@ -202,12 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int =
     return forest, threshold(s[quality == 1], s[quality == 0], good_loss)
 
 
-def _keeper(shared, full: bool):
+def _keeper(shared, full: bool, name: str = "__text"):
     def run(batches):
         pw = Powers()
         forest, most = shared.value
         for batch in batches:
-            for i, data, off in slices(batch.column(batch.schema.get_field_index("__text"))):
+            for i, data, off in slices(batch.column(batch.schema.get_field_index(name))):
                 n, s = statistics(data, off, pw)
                 score = np.where(n > 0, 0.0, 1.0)
                 has = np.flatnonzero(n > 0)
@@ -219,7 +220,7 @@ def _keeper(shared, full: bool):
                     cols = [part.column(part.schema.get_field_index("doc_id")), pa.array(n.astype(np.int32)), *(pa.array(c, mask=n == 0) for c in s.T), pa.array(score), pa.array(keep)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", *STATS, "score", "keep"])
                 else:
-                    yield part.select([c for c in part.schema.names if c != "__text"]).filter(pa.array(keep))
+                    yield part.select([c for c in part.schema.names if c != name]).filter(pa.array(keep))
 
     return run
 
@@ -234,4 +235,5 @@ def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that the forest doesn't find anomalous, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_keeper(shared, False), docs.schema)
+    name = free_name(docs, "__text")
+    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(_keeper(shared, False, name), docs.schema)

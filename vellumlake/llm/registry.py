@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, omh, packing, pii, quality, substrings, wumanber
+from . import htmlscore, lblm, merkle, omh, packing, pii, quality, substrings, tokentree, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_bootstrapped_pii(spark, sf_dir):
     return pii.extracted(table(spark, sf_dir, "documents"))
 
 
+def op3_log_bilinear_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lblm.scores(docs, lblm.train(docs))
+
+
 def op4_order_minhash(spark, sf_dir):
     return omh.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,10 @@ def op5_merkle_audit(spark, sf_dir):
     return merkle.audit(pages, faulty_replica(pages))
 
 
+def op6_html_main_text(spark, sf_dir):
+    return htmlscore.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_column_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -45,11 +54,29 @@ def op8_benchmark_leaks(spark, sf_dir):
     return wumanber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_edit_token_counts(spark, sf_dir):
+    return tokentree.edit_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_spans(spark, sf_dir):
     return substrings.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_forest, op2_bootstrapped_pii, op4_order_minhash, op5_merkle_audit, op7_column_packing, op8_benchmark_leaks, op10_repeated_spans)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_forest,
+        op2_bootstrapped_pii,
+        op3_log_bilinear_scores,
+        op4_order_minhash,
+        op5_merkle_audit,
+        op6_html_main_text,
+        op7_column_packing,
+        op8_benchmark_leaks,
+        op9_edit_token_counts,
+        op10_repeated_spans,
+    )
+}
 
 SQL = {
     "op5_merkle_audit": r"""

@@ -36,3 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
 def tokenizer_dir() -> str:
     """The default of the `tokenizer` parameter's folder."""
     return os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

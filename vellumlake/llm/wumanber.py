@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name
 from .textvec import NORM, slices
 
 WINDOW = 10
@@ -176,19 +177,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     return out
 
 
-def _flagger(shared):
+def _flagger(shared, name: str):
     def run(batches):
         tables = None
         for batch in batches:
             if tables is None:
                 tables = Tables(shared.value)
             bad = np.zeros(len(batch), bool)
-            for i, data, off in slices(batch.column(batch.schema.get_field_index("__search"))):
+            for i, data, off in slices(batch.column(batch.schema.get_field_index(name))):
                 text, edges = framed(data, off)
                 start, _ = search(tables, text, edges)
                 bad[i + np.searchsorted(edges, start, "right") - 1] = True
             kept = batch.filter(pa.array(~bad))
-            yield kept.select([n for n in kept.schema.names if n != "__search"])
+            yield kept.select([n for n in kept.schema.names if n != name])
 
     return run
 
@@ -197,6 +198,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The rows of docs that hold no benchmark window, with all their columns."""
     for chunk in chunks(patterns(benchmark, window, least_words), chunk_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(chunk[0])
-        docs = docs.withColumn("__search", F.lower(F.col("text").cast("string"))).mapInArrow(_flagger(shared), docs.schema)
+        name = free_name(docs, "__search")
+        docs = docs.withColumn(name, F.lower(F.col("text").cast("string"))).mapInArrow(_flagger(shared, name), docs.schema)
     return docs
 
