@@ -6,16 +6,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumlake.llm.omh import drop_near_duplicates
+from vellumlake.llm import omh, packing, pii, quality, wumanber
 from vellumlake.llm.scratch import shared_dir
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the isolation forest, calibrated on the labels, doesn't find anomalous."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    """One document of each group of copies and near copies."""
+    return omh.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return wumanber.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with identifiers replaced by their kind."""
+    return pii.masked(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training sequences."""
+    return packing.packed(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii_masking", pii_masking),
+    ("sequence_packing", sequence_packing),
+]
+ORACLE_SQL = None  # a forest, sketches and a linear program: tests compare the stages with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
