@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import matching_ids
+from .vector import sorted_with_rank
 
 SORTS = {"addedAt": "added_at", "updatedAt": "updated_at", "key": "key"}
 DEFAULT_LIMIT = 50
+TOP = 10_000  # rows that each task keeps for a page, at most
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,14 @@ class Query:
             here = here.where(F.coalesce(F.arrays_overlap(F.col("meta")[k], F.array(*map(F.lit, values))), F.lit(False)))
         return here
 
-    def ordered(self, df: DataFrame) -> DataFrame:
-        """By the sort field, then by id; unknown or no sort: by id."""
+    def _by(self) -> list[Column]:
         field_ = SORTS.get(self.sort)
         by = [F.col(field_).asc() if self.asc else F.col(field_).desc()] if field_ else []
-        return df.orderBy(*by, F.col("id").asc())
+        return [*by, F.col("id").asc()]
+
+    def ordered(self, df: DataFrame) -> DataFrame:
+        """By the sort field, then by id; unknown or no sort: by id."""
+        return df.orderBy(*self._by())
 
     def of(self, docs: DataFrame, index: DataFrame | None = None, total: bool = False) -> DataFrame:
         """The page that is asked for; with total, the number of all matches beside each row.
@@ -63,8 +68,13 @@ class Query:
             return self.ordered(found)
         limit = self.limit if self.limit > 0 else DEFAULT_LIMIT
         keys = ["collection", "id"] + ([SORTS[self.sort]] if self.sort in SORTS else [])
-        ids = self.ordered(found.select(*keys)).offset(max(0, self.offset)).limit(limit).select("collection", "id")
-        page = docs.where(F.col("collection") == self.collection).join(F.broadcast(ids), ["collection", "id"], "left_semi")  # at most `limit` ids
+        offset = max(0, self.offset)
+        if offset + limit <= TOP:
+            ids = self.ordered(found.select(*keys)).offset(offset).limit(limit).select("collection", "id")
+        else:  # a deep page: no task can hold all rows before it
+            ids = sorted_with_rank(found.select(*keys), *self._by()).where(F.col("rank").between(offset + 1, offset + limit)).select("collection", "id")
+        small = F.broadcast(ids) if limit <= TOP else ids
+        page = docs.where(F.col("collection") == self.collection).join(small, ["collection", "id"], "left_semi")
         if total:
             page = page.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))  # one row
         return self.ordered(page)
