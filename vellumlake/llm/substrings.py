@@ -187,7 +187,7 @@ def candidate_windows(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH,
     spark, k = docs.sparkSession, window // 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    need = CELLS_PER_ANCHOR * max(1, size // 6) * 2 // (k + 2)
+    need = max(2, CELLS_PER_ANCHOR * (size // 6) * 2 // (k + 2))
     width = 1 << max(BLOCK_BITS, math.ceil(math.log2(need)))
     if depth * width // 8 <= max_sketch_bytes:
         merged = docs.select("text").mapInArrow(_sketcher(k, width, depth), "row int, block int, cells binary, counts binary").groupBy("row", "block").applyInPandas(_merge, "row int, block int, bits binary")
