@@ -1,40 +1,18 @@
-"""Where operators keep what they reread: the shared folder that the cluster names in spark.checkpoint.dir."""
+"""Folders that operators use, and free column names."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..shared import cut, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (as in tests), one of our own, set once a session."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="vellum-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, independent of any executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "free_name", "shared_dir", "tokenizer_dir", "written"]
 
 
 def tokenizer_dir() -> str:
-    """The default of the `tokenizer` parameter's folder."""
+    """The default of the `tokenizers` parameter: the folder of the public tokenizers."""
     return os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers")
 
 
