@@ -6,13 +6,17 @@ import io
 import os
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, parse_meta, safe_name, slugify
 from ..schema import META
 
 
+def _without(entries: Column, others: Column) -> Column:
+    return F.filter(entries, lambda e: ~F.exists(others, lambda x: x["key"] == e["key"]))
+
+
 def markdown_folder(spark: SparkSession, path: str, collection: str, lang: str = "en_US", meta: str = "", recursive: bool = False, with_frontmatter: bool = True, cli_compat: bool = False) -> DataFrame:
     """Change rows (collection, key, lang, meta, content_md) of a folder's *.md files, one scan of whole files.
 
@@ -30,7 +34,7 @@ def markdown_folder(spark: SparkSession, path: str, collection: str, lang: str =
         parts.append(F.map_entries(lists(frontmatter("value", cli_compat))))
     merged = parts[0]
     for p in parts[1:]:  # entries of a later part replace those of the same key
-        merged = F.concat(F.filter(merged, lambda e, p=p: ~F.exists(p, lambda x: x["key"] == e["key"])), p)
+        merged = F.concat(_without(merged, p), p)
     rows = files.select(name.alias("name"), "value").select(F.lit(collection).alias("collection"), slugify("name").alias("key"), F.lit(lang).alias("lang"), F.map_from_entries(merged).alias("meta"), F.col("value").alias("content_md"))
     return rows.where("key <> ''")
 
