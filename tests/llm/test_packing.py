@@ -31,6 +31,11 @@ def test_plan_covers_demand_near_the_bound(demand):
     assert bins >= np.ceil((sizes * d).sum() / 30) and bins <= bound * (1 + packing.GAP) + len(sizes) + 1
 
 
+def test_inverse():
+    a = np.random.default_rng(1).integers(0, 4, (40, 40)) + 5 * np.eye(40)
+    assert np.allclose((packing._inverse(a)[:, :, None] * a).sum(1), np.eye(40))
+
+
 def check(rows, docs, context):
     """Every word of every document lies in exactly one sequence, and no sequence overflows or overlaps."""
     by_seq, by_doc = {}, {}

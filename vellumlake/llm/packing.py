@@ -76,6 +76,24 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), counts
 
 
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (a * x).sum(1)  # a driver's linear-algebra threads may hang beside the JVM; these are small
+
+
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination with row pivots."""
+    m = len(a)
+    t = np.concatenate([a.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        p = k + int(np.argmax(np.abs(t[k:, k])))
+        t[[k, p]] = t[[p, k]]
+        t[k] /= t[k, k]
+        others = t[:, k].copy()
+        others[k] = 0
+        t -= others[:, None] * t[k]
+    return t[:, m:]
+
+
 def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """(patterns: one a column, uses): a basic solution of min sum(uses), patterns @ uses = demand, by column generation.
 
@@ -84,13 +102,13 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     m = len(sizes)
     patterns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
-    x = inverse @ demand
+    x = _times(inverse, demand)
     for turn in range(50 * m + 100):
         dual = inverse.sum(0)
         value, column = knapsack(sizes, dual, capacity)
         if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= max(0.5, gap * x.sum()):
             break
-        d = inverse @ column
+        d = _times(inverse, column)
         up = d > 1e-9
         ratio = np.where(up, x / np.where(up, d, 1), np.inf)
         out = int(np.lexsort((-d, ratio))[0])
@@ -103,8 +121,8 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         inverse = inverse - np.outer(d, pivot)
         inverse[out] = pivot
         if turn % 200 == 199:  # errors of the updates don't pile up
-            inverse = np.linalg.inv(patterns)
-            x = inverse @ demand
+            inverse = _inverse(patterns)
+            x = _times(inverse, demand)
     return patterns.astype(np.int64), np.maximum(x, 0)
 
 
