@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -181,8 +182,6 @@ class Engine:
         rows = rows.cache()  # counters and state come from the same rows; lost blocks are computed again
         try:
             out = plan(self.store.table("docs", base), rows)
-            counts = out.counts.first().asDict()
-            errors = [r["error"] for r in out.errors.orderBy("error").toLocalIterator()]
             tables = {"docs": out.state}
             aliases, revisions = self.store.table("aliases", base), self.store.table("revisions", base)
             if gone:
@@ -194,7 +193,11 @@ class Engine:
                 if out.aliases is not None:
                     tables["aliases"] = aliases.unionByName(out.aliases).distinct()
                 tables["revisions"] = merge.append_revisions(revisions, out.revisions)
-            self.store.commit(base, **tables)
+            with ThreadPoolExecutor(1) as beside:  # the counters are taken while the tables are written
+                told = beside.submit(lambda: (out.counts.first().asDict(), out.errors.orderBy("error").collect() if out.errors is not None else []))
+                self.store.commit(base, **tables)
+                counts, failed = told.result()
+                errors = [r["error"] for r in failed]
         finally:
             rows.unpersist()
         return counts | {"errors": errors}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,10 +54,14 @@ class Store:
     def commit(self, base: int, **tables: DataFrame) -> int:
         """Publish new states of some tables on top of version `base`."""
         paths = json.loads(self._read(f"_manifest/{base}.json"))["tables"] if base else {}
-        for name, df in tables.items():
+
+        def write(name: str) -> None:
+            tables[name].select(*[f.name for f in TABLES[name].fields]).write.option("compression", "zstd").parquet(f"{self.root}/{paths[name]}")
+
+        for name in tables:
             paths[name] = f"{name}/{base + 1:020d}-{uuid.uuid4().hex}"
-            df = df.select(*[f.name for f in TABLES[name].fields])
-            (df.repartition("collection").sortWithinPartitions("collection") if name == "aliases" else df).write.option("compression", "zstd").parquet(f"{self.root}/{paths[name]}")
+        with ThreadPoolExecutor(len(TABLES)) as beside:  # the tables don't depend on each other
+            list(beside.map(write, tables))
         target = self._path(f"{self.root}/_manifest/{base + 1}.json")
         if self._fs.exists(target):
             raise Conflict(f"version {base + 1} is there already")
