@@ -15,8 +15,11 @@ threshold is the largest good score; extra columns pass through the filter; an e
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int =
 def _keeper(shared, full: bool, name: str = "__text"):
     def run(batches):
         pw = Powers()
-        forest, most = shared.value
+        forest, most = pickle.loads(shared.value)
         for batch in batches:
             for i, data, off in slices(batch.column(batch.schema.get_field_index(name))):
                 n, s = statistics(data, off, pw)
@@ -227,13 +230,13 @@ def _keeper(shared, full: bool, name: str = "__text"):
 
 def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, the rule statistics, score and keep for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(docs, labels, **how)))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"))
     return slim.mapInArrow(_keeper(shared, True), "doc_id long, n_words int, " + ", ".join(f"{c} double" for c in STATS) + ", score double, keep boolean")
 
 
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that the forest doesn't find anomalous, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(docs, labels, **how)))
     name = free_name(docs, "__text")
     return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(_keeper(shared, False, name), docs.schema)
