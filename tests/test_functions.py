@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumlake import functions as fn
 from vellumlake.functions.scalars import _delta, _undelta
-from vellumlake.operators import vector
+from vellumlake.operators import membership, vector
 
 
 def one(spark, col):
@@ -106,3 +106,22 @@ def test_vectors(spark):
     assert len(points) == 40 and (owner == 2).sum() == 20
     got = vector.assign_shards(spark.createDataFrame([("k1",), ("k2",)], "k string"), "k", {0: 1, 1: 1}, replicas=5).collect()
     assert all(sorted(r["shards"]) == [0, 1] for r in got)
+
+
+def test_bloom(spark):
+    inside = spark.createDataFrame([(f"k{i}",) for i in range(2000)] + [(None,)], "k string")
+    b = membership.build(inside, "k")
+    others = spark.createDataFrame([(f"x{i}", i) for i in range(5000)], "k string, h int")
+    assert membership.might_contain(inside, "k", b).count() == 2000
+    assert membership.might_contain(others, "k", b).count() < 150
+    assert b.stats()["members"] == 2000 and b.stats()["expected_false_positives"] < 0.02
+    none = inside.limit(0)
+    assert membership.might_contain(others, "k", membership.build(none, "k")).count() == 0
+    assert membership.semi_join(others.union(spark.createDataFrame([("k1", 1)], "k string, h int")), "k", inside, "k").collect()[0]["k"] == "k1"
+
+
+def test_ring_moves_only_to_the_new_shard(spark):
+    keys = spark.createDataFrame([(f"key-{i}",) for i in range(500)], "k string")
+    got = vector.moved(keys, "k", {0: 1, 1: 1}, {0: 1, 1: 1, 2: 1}).collect()
+    assert {r["to_shard"] for r in got} == {2} and sum(r["keys"] for r in got) < 500
+    assert sum(r["owned"] for r in vector.shard_stats(vector.assign_shards(keys, "k", {0: 1, 1: 1}, 2)).collect()) == 500

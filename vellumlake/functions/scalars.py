@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from urllib.parse import parse_qs, unquote
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,3 +228,5 @@ def parse_uri(uri: str) -> dict:
     if slash and not scheme.endswith("-search"):
         return out | {"key": unquote(key)}
     return out | {"filter": meta, "sort": args.get("sort", [""])[0], "asc": args.get("asc", ["false"])[0] == "true", "limit": whole("limit"), "offset": whole("offset")}
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

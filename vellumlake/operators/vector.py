@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +87,18 @@ def assign_shards(keys: DataFrame, key: str, weights: dict[int, int], replicas:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array([follow[i] for i in at], pa.list_(pa.int32()))], ["key", "hash", "shards"])
 
     return keys.select(F.col(key).cast("string").alias("key")).mapInArrow(run, "key string, hash long, shards array<int>")
+
+
+def shard_stats(assigned: DataFrame) -> DataFrame:
+    """Keys of each shard as first owner and as any, from assign_shards."""
+    each = assigned.select(F.posexplode("shards").alias("nth", "shard"))
+    return each.groupBy("shard").agg(F.count_if(F.col("nth") == 0).alias("owned"), F.count(F.lit(1)).alias("held"))
+
+
+def moved(keys: DataFrame, key: str, before: dict[int, int], after: dict[int, int], vnodes: int = 150) -> DataFrame:
+    """(from_shard, to_shard, keys): what changing the shards of a ring moves."""
+    a = assign_shards(keys, key, before, 1, vnodes).select("key", F.col("shards")[0].alias("from_shard"))
+    b = assign_shards(keys, key, after, 1, vnodes).select("key", F.col("shards")[0].alias("to_shard"))
+    return a.distinct().join(b.distinct(), "key").where("from_shard <> to_shard").groupBy("from_shard", "to_shard").agg(F.count(F.lit(1)).alias("keys"))
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

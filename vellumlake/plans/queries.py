@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import merge, stats, vector
+from ..operators import membership, merge, stats, vector
 from ..operators.index import build_index, index_diff, matching_ids, postings
 from ..operators.search import Query, get_by_key
 from ..sources import corpus as src
@@ -473,6 +473,23 @@ def shard_ring_assign(spark, sf_dir):
     return found.select("key", "hash", F.col("shards")[0].alias("shard"))
 
 
+@query(f"""
+WITH n AS (SELECT s, v, {_FNV.format("s || '-' || v")} AS h FROM range(4) AS a(s), range(150) AS b(v)),
+ring AS (SELECT h, max(s) AS s FROM n GROUP BY h),
+k AS (SELECT c_name AS key, {_FNV.format('c_name')} AS hash FROM customer)
+SELECT CAST(coalesce(r.s, (SELECT s FROM ring ORDER BY h LIMIT 1)) AS INTEGER) AS shard, count(*) AS owned FROM k ASOF LEFT JOIN ring r ON k.hash <= r.h GROUP BY 1
+""")
+def shard_ring_stats(spark, sf_dir):
+    found = vector.assign_shards(src.table(spark, sf_dir, "customer"), "c_name", {s: 1 for s in range(4)}, replicas=2)
+    return vector.shard_stats(found).select("shard", "owned")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
+def bloom_semi_join(spark, sf_dir):
+    """Customers with events, others dropped by a Bloom filter before the join."""
+    return membership.semi_join(src.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", src.table(spark, sf_dir, "events"), "user_id")
+
+
 # whole-column operators
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import os
+import sys
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +102,5 @@ def write_zip_parts(docs: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n])], ["part", "n"])
 
     docs.select(F.concat(safe_name("key"), F.lit("."), safe_name("lang"), F.lit(".md")).alias("name"), "content_md").mapInArrow(pack, "part string, n long").count()
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
