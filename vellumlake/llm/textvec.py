@@ -60,7 +60,7 @@ class Powers:
         return have[0][:n], have[1][:n]
 
 
-def slices(texts: pa.Array, most: int = 1 << 21):
+def slices(texts: pa.Array, most: int = 1 << 20):
     """(first row, buffer, offsets) for runs of rows of about `most` bytes; a longer text is a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
