@@ -476,11 +476,12 @@ def shard_ring_assign(spark, sf_dir):
 @query(f"""
 WITH n AS (SELECT s, v, {_FNV.format("s || '-' || v")} AS h FROM range(4) AS a(s), range(150) AS b(v)),
 ring AS (SELECT h, max(s) AS s FROM n GROUP BY h),
-k AS (SELECT c_name AS key, {_FNV.format('c_name')} AS hash FROM customer)
-SELECT CAST(coalesce(r.s, (SELECT s FROM ring ORDER BY h LIMIT 1)) AS INTEGER) AS shard, count(*) AS owned FROM k ASOF LEFT JOIN ring r ON k.hash <= r.h GROUP BY 1
+k AS (SELECT c_name AS key, {_FNV.format('c_name')} AS hash FROM customer),
+a AS (SELECT key, coalesce(r.s, (SELECT s FROM ring ORDER BY h LIMIT 1)) AS s FROM k ASOF LEFT JOIN ring r ON k.hash <= r.h)
+SELECT CAST(g.s AS INTEGER) AS shard, count(a.key) AS owned FROM range(4) AS g(s) LEFT JOIN a ON a.s = g.s GROUP BY 1
 """)
 def shard_ring_stats(spark, sf_dir):
-    found = vector.assign_shards(src.table(spark, sf_dir, "customer"), "c_name", {s: 1 for s in range(4)}, replicas=2)
+    found = vector.assign_shards(src.table(spark, sf_dir, "customer"), "c_name", {s: 1 for s in range(4)}, replicas=4)
     return vector.shard_stats(found).select("shard", "owned")
 
 
