@@ -125,3 +125,27 @@ def test_ring_moves_only_to_the_new_shard(spark):
     got = vector.moved(keys, "k", {0: 1, 1: 1}, {0: 1, 1: 1, 2: 1}).collect()
     assert {r["to_shard"] for r in got} == {2} and sum(r["keys"] for r in got) < 500
     assert sum(r["owned"] for r in vector.shard_stats(vector.assign_shards(keys, "k", {0: 1, 1: 1}, 2)).collect()) == 500
+
+
+def test_checksums_are_of_the_texts(spark):
+    """Against FNV-1a and CRC-32 byte by byte, also of nulls, empty, non-ASCII and long texts."""
+    import zlib
+
+    from tests.conftest import SF
+
+    from vellumlake.plans.queries import checksums
+
+    def fnv(x, h, p, m):
+        for b in x.encode():
+            h = ((h ^ b) * p) & m
+        return h
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(30).collect()] + [None, "", "É 漢字", "x" * 5000] + ["ab" * i for i in range(40)]
+    want = [None if t is None else (fnv(t, 0x811C9DC5, 0x01000193, 2**32 - 1), f"{fnv(t, 0xCBF29CE484222325, 0x100000001B3, 2**64 - 1):016x}") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = df.select("i", fn.fnv1a32("t").alias("a"), fn.fnv1a64("t").alias("b")).orderBy("i").collect()
+    assert [None if r.a is None and r.b is None else (r.a, r.b) for r in got] == want
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in checksums(spark, SF).orderBy("doc_id").limit(30).collect():
+        t = docs[r.doc_id]
+        assert (r.crc, r.fnv32, r.fnv64) == (zlib.crc32(t.encode()), fnv(t, 0x811C9DC5, 0x01000193, 2**32 - 1), f"{fnv(t, 0xCBF29CE484222325, 0x100000001B3, 2**64 - 1):016x}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from urllib.parse import parse_qs, unquote
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -145,32 +146,41 @@ def as_list(value: Column | str) -> Column:
     return F.when(F.ltrim(v).startswith("["), F.coalesce(items, many)).otherwise(F.array(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"), F.lit(""))))
 
 
+def _fnv1a(s: pd.Series, start: int, prime: int, kind: type) -> np.ndarray:
+    """FNV-1a of the UTF-8 bytes of every string, byte by byte over all strings that are so long; 0 for a null."""
+    raw = [b"" if x is None else x.encode() for x in s]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data, at = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(size) - size)[order]
+    h, prime = np.full(len(raw), start, kind), kind(prime)
+    longer = len(raw) - np.cumsum(np.bincount(size, minlength=1))  # strings of over j bytes
+    j = 0
+    while j < len(longer) and longer[j] >= 16:
+        n = longer[j]
+        h[:n] = (h[:n] ^ data[at[:n] + j]) * prime
+        j += 1
+    mask, p = (1 << 8 * h.itemsize) - 1, int(prime)
+    for i in range(int(longer[j]) if j < len(longer) else 0):  # the few longest, one by one
+        x = int(h[i])
+        for b in raw[order[i]][j:]:
+            x = ((x ^ b) * p) & mask
+        h[i] = x
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def fnv1a32(s: pd.Series) -> pd.Series:
     """Exact 32-bit FNV-1a of the UTF-8 bytes."""
-
-    def one(x):
-        if x is None:
-            return None
-        h = 0x811C9DC5
-        for b in x.encode():
-            h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-        return h
-
-    return s.map(one, na_action="ignore").astype("Int64")
+    return pd.Series(_fnv1a(s, 0x811C9DC5, 0x01000193, np.uint32).astype("int64")).astype("Int64").mask(s.isna().to_numpy())
 
 
 @F.pandas_udf(T.StringType())
 def fnv1a64(s: pd.Series) -> pd.Series:
     """Exact 64-bit FNV-1a in hexadecimal."""
-
-    def one(x):
-        h = 0xCBF29CE484222325
-        for b in x.encode():
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return s.map(one, na_action="ignore")
+    h = _fnv1a(s, 0xCBF29CE484222325, 0x100000001B3, np.uint64)
+    return pd.Series([None if x is None else f"{y:016x}" for x, y in zip(s, h.tolist())], dtype=object)
 
 
 def _delta(old: bytes, new: bytes) -> bytes:

@@ -218,7 +218,7 @@ def byte_string_functions(spark, sf_dir):
 @query()
 def checksums(spark, sf_dir):
     """CRC-32 and FNV-1a of every text's bytes."""
-    return src.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), fn.fnv1a32(F.col("source")).alias("fnv32"), fn.fnv1a64(F.col("source")).alias("fnv64"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), fn.fnv1a32(F.col("text")).alias("fnv32"), fn.fnv1a64(F.col("text")).alias("fnv64"))
 
 
 @query("SELECT event_id, strftime(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
