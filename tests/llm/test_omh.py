@@ -146,3 +146,11 @@ def test_repeated_ids_with_other_texts(spark):
     rows = [(1, a), (1, b), (1, a), (2, a), (1, None), (3, b), (7, None), (7, prose(9, 80))]
     left = sorted((r["doc_id"], r["text"] or "") for r in omh.drop_near_duplicates(frame(spark, rows)).collect())
     assert left == sorted([(1, a), (1, b), (1, ""), (7, ""), (7, prose(9, 80))])
+
+
+def test_near_copies_with_null_ids_are_found(spark):
+    a, b = prose(21, 120), prose(22, 120)
+    docs = frame(spark, [(1, a), (None, changed(a, 5, 0.04)), (None, b), (None, changed(b, 6, 0.04))])
+    got = omh.near_duplicates(docs).collect()
+    assert sorted((r.kept_id or 0, r.group_rows) for r in got) == [(0, 2), (0, 2), (1, 2), (1, 2)]
+    assert omh.drop_near_duplicates(docs).count() == 2

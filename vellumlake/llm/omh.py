@@ -196,7 +196,9 @@ def _aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     """The pairs (a, b) of nodes that are near copies; texts are read again only for nodes in a pair."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("doc_id").distinct()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    toks = slim.join(asked, "doc_id", "left_semi").mapInArrow(_tokens, "node long, toks binary").where("node is not null").dropDuplicates(["node"])
+    # null ids match no join key: all their rows are read again
+    plain, null = slim.join(asked.where("doc_id is not null"), "doc_id", "left_semi"), slim.where("doc_id is null")
+    toks = plain.union(null).mapInArrow(_tokens, "node long, toks binary").where("node is not null").dropDuplicates(["node"])
     ta, tb = (toks.select(F.col("node").alias(x), F.col("toks").alias("t" + x)) for x in "ab")
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(similarity), "a long, b long, similarity double")
 
