@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 import pytest
@@ -86,3 +87,93 @@ def test_edges(spark):
     got = hs.extracted(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(str, ((r["page_id"], r["text"], r["blocks"]) for r in got))) == sorted(map(str, [(1, None, 0), (1, None, 0), (None, BODY.strip(), 1), (2, None, 0)]))
     assert hs.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_comment_mark_in_a_script():
+    text, _, blocks = hs.extract(f"<body><script>var a = '<!-- <p>';</script><div><p>{BODY}</p><p>{BODY}</p></div></body>")
+    assert text == f"{BODY.strip()}\n{BODY.strip()}" and blocks == 2
+
+
+def test_quotes():
+    assert hs.extract(f"<div><a href=don't>x</a> it's<p title=\"a > b\" data-x='<b>'>{BODY}</p></div>")[0] == f"x it's\n{BODY.strip()}"
+    assert hs.extract(f"<p title=\"never closed>{BODY}</p><p>{BODY}</p>")[0] == f"{BODY.strip()}\n{BODY.strip()}"
+
+
+@pytest.mark.parametrize("part", ["<div>own text that is long enough to count here, yes, ", '<a "', "<a ='\"", '<a href="', "<b><p>", "<p><div><b>", "</b>", "<!--", "<li>", "<a ' \"> ", "<script>", "<"])
+def test_time_is_linear(part):
+    import time
+
+    began = time.perf_counter()
+    hs.extract(part * 20_000)
+    assert time.perf_counter() - began < 2  # ten times the 2,000 that have to end in a second
+
+
+def brute(src):
+    """Text, score and blocks by the definition: every sum is taken anew from the tree."""
+    root = hs.parse(src)
+
+    def walk(n):
+        yield n
+        for k in n.kids:
+            if isinstance(k, hs.Node):
+                yield from walk(k)
+
+    def above(n):
+        return [] if n.up is None else [n.up, *above(n.up)]
+
+    def strings(n, linked=False):
+        linked = linked and n.tag != "a"  # below a link all counts
+        for k in n.kids:
+            if isinstance(k, hs.Node):
+                if k.tag not in hs.SILENT:
+                    yield from strings(k, linked)
+            elif not linked:
+                yield entities.unescape(k)
+
+    length = lambda n, linked=False: sum(len(re.sub(r"\s+", " ", x).strip()) for x in strings(n, linked))
+    bad = lambda n: n.tag in hs.BOILER or bool(n.names and hs.BAD.search(n.names) and not hs.GOOD.search(n.names))
+    density = lambda n: length(n, True) / length(n) if length(n) else 0
+    nodes = list(walk(root))
+    for least in (hs.LEAST_CHARS, 1):
+        own = lambda n: sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        given = [n for n in nodes if (n.tag in hs.BLOCKS or n.tag in ("div", "section", "article") and own(n) >= least) and length(n) >= least and not any(map(bad, [n, *above(n)]))]
+        points = {}
+        for n in given:
+            for level, up in enumerate(above(n)[: hs.LEVELS]):
+                if up.tag != "#root" or level == 0:
+                    share = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)[level]
+                    points[up] = points.get(up, hs._start(up)) + share * (1 + sum(x.count(",") for x in strings(n)) + min(3, length(n) // 100))
+        if points:
+            break
+    else:
+        return hs.plain(next((n for n in nodes if n.tag == "body"), root)) or None, 0.0, 0
+    final = {n: p * (1 - density(n)) for n, p in points.items()}
+    top = max(final.values())
+    best = next(n for n in nodes if n in final and final[n] > top - 1e-9)
+    keep = []
+    for k in best.up.kids if best.up else [best]:
+        if k is best:
+            keep.append(k)
+        elif isinstance(k, hs.Node) and k.tag not in hs.BOILER and not hs.BAD.search(k.names):
+            running = length(k) > 80 and density(k) < 0.25 or 0 < length(k) <= 80 and density(k) == 0 and re.search(r"[.!?](?:\s|$)", hs.plain(k))
+            if final.get(k, 0) >= max(10, 0.2 * top) or k.tag == "p" and running:
+                keep.append(k)
+    return "\n".join(filter(None, map(hs.plain, keep))) or None, top, len(given)
+
+
+def test_choice_equals_brute_force():
+    r = random.Random(5)
+    words = ["word", "comma,", "end.", "&amp;", "longer-word"]
+
+    def some(depth):
+        kind = r.random()
+        if depth > 5 or kind < 0.3:
+            return " ".join(r.choice(words) for _ in range(r.choice((1, 3, 12, 40))))
+        tag = r.choice("div div p p section article ul li a span nav td blockquote h2 pre".split())
+        name = r.choice(["", "", "", " class='content'", " id=sidebar", ' class="story related"'])
+        return f"<{tag}{name}>" + "".join(some(depth + 1) for _ in range(r.randint(1, 4))) + ("" if tag in ("p", "li") and r.random() < 0.3 else f"</{tag}>")
+
+    for _ in range(600):
+        src = "<body>" + "".join(some(0) for _ in range(r.randint(1, 4))) + "</body>"
+        got, want = hs.extract(src), brute(src)
+        assert got[0] == want[0] and got[2] == want[2] and got[1] == pytest.approx(want[1], abs=1e-5), src[:300]

@@ -1,11 +1,13 @@
 """HTML main-text extraction by tree scoring.
 
-A page is parsed into a light tree by one scan over its tags.  Each paragraph-like block passes points for its length and commas to its
-parent (whole), grandparent (half) and higher ancestors (a third of the level); a container's sum is discounted by its link density.
+A page is parsed into a light tree by one scan over its tags, linear in the page however it is nested or quoted.  Each paragraph-like block
+passes points for its length and commas to its parent (whole), grandparent (half) and the three ancestors above (a third of the level's
+inverse; LEVELS in all); a container's sum is discounted by its link density.
 The best container is kept, with siblings that score at least a fifth of it or read like running text.
 
 Defined cases: null, empty and textless pages give a null text, score 0 and no block; unclosed, misnested and unknown tags are
-tolerated (p, li and the like close implicitly; the end of the page closes the rest); comments, scripts and styles never count; if all
+tolerated (p, li and the like close implicitly; the end of the page closes the rest; after a tag with a quote that doesn't close, tags end at
+the next >); comments, scripts and styles never count, nor does a comment mark in a script; if all
 blocks are short they score all the same, and if there is none the whole body's text is taken; ties between containers go to the first in the page; repeated rows are extracted each; extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -20,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_CHARS = 25
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+LEVELS = 5  # so many ancestors of a block get points
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")  # a tag whose values hold no <: looks no further than the next <
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_STOP = re.compile(r"[>\"']")
 _BLANK = re.compile(r"\s+")
 _NAMES = re.compile(r"""(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,85 +33,152 @@ RAW = frozenset("script style noscript template textarea svg iframe".split())
 BLOCKS = frozenset("p td pre blockquote li dd".split())
 BREAKS = frozenset("p div article section main li ul ol dl dt dd td tr table pre blockquote h1 h2 h3 h4 h5 h6 br hr figure figcaption header footer nav aside form body".split())
 CLOSES_P = frozenset("p div article section main ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 hr header footer nav aside form figure".split())
+SCOPES = frozenset("table ul ol dl div article section body #root".split())  # a start tag closes no element outside the nearest of these
+SILENT = frozenset("head title button select".split())  # their text never counts
 BOILER = frozenset("nav footer header aside form head title button select".split())
 GOOD = re.compile(r"article|body|content|entry|main|page|post|text|story", re.I)
 BAD = re.compile(r"\bads?\b|advert|banner|combx|comment|contact|cookie|footer|masthead|menu|meta|nav|promo|related|share|sidebar|sponsor|widget", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "up", "kids", "points", "text", "linked")
+    __slots__ = ("tag", "names", "up", "kids", "points", "text", "linked", "commas", "scope", "inside", "boiler")
 
     def __init__(self, tag: str, names: str, up: "Node | None") -> None:
         self.tag, self.names, self.up = tag, names, up
         self.kids: list = []
         self.points = 0.0
+        self.scope = self if up is None or tag in SCOPES else up.scope
+        self.inside: dict[str, int] = {}  # of a scope: its open elements
+
+
+class _Tags:
+    """(start, end, closing slash, name, attributes) of a page's tags, comments and the like without a name; linear whatever the quotes."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.open = page, True
+
+    def at(self, i: int):
+        """The tag that begins with the < at i; None where there is none."""
+        page = self.page
+        if m := _OPEN.match(page, i):
+            return m.end(), m.group(1), m.group(2).lower(), m.group(3)
+        for mark, close in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(mark, i):
+                j = page.find(close, i + len(mark))
+                return (j + len(close) if j >= 0 else len(page)), "", "", ""
+        if page[i + 1 : i + 2] in ("!", "?"):
+            j = page.find(">", i)
+            return (j + 1, "", "", "") if j >= 0 else None
+        if not (m := _NAME.match(page, i)):
+            return None
+        j = self._end(m.end()) if self.open else -1
+        if j < 0:  # quotes that don't close: once seen, tags of this page end at the next >
+            self.open = False
+            j = page.find(">", m.end())
+        return (j + 1, m.group(1), m.group(2).lower(), page[m.end() : j]) if j >= 0 else None
+
+    def _end(self, i: int) -> int:
+        """The > that ends a tag; a quote opens a value only behind =."""
+        page = self.page
+        while m := _STOP.search(page, i):
+            if m.group() == ">":
+                return m.start()
+            i = m.end()
+            k = m.start() - 1
+            while k > 0 and page[k].isspace():
+                k -= 1
+            if page[k] == "=":
+                i = page.find(m.group(), i) + 1
+                if not i:
+                    return -1
+        return -1
 
 
 def parse(page: str) -> Node:
-    """The page's elements and texts; never fails."""
+    """The page's elements and texts; never fails, in time linear in the page."""
     root = at = Node("#root", "", None)
-    last, end, skip = 0, len(page), None
-    for m in _TAG.finditer(page):
-        if m.start() < last:
+    tags, last, seen, end = _Tags(page), 0, 0, len(page)
+    opened: dict[str, int] = {}
+
+    def leave(node: Node) -> Node:
+        """Close all open elements up to `node`."""
+        here = at
+        while True:
+            opened[here.tag] -= 1
+            if here.up is not None and here.scope is not here:
+                here.scope.inside[here.tag] -= 1
+            if here is node:
+                return here.up
+            here = here.up
+
+    while (i := page.find("<", seen)) >= 0:
+        got = tags.at(i)
+        if got is None:
+            seen = i + 1
             continue
-        if m.start() > last:
-            at.kids.append(page[last : m.start()])
-        last = m.end()
-        if not m.group(2):
+        if i > last:
+            at.kids.append(page[last:i])
+        last, slash, tag, rest = got
+        seen = last
+        if not tag:
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.up
-            if node is not None and node.up is not None:
-                at = node.up
+        if slash:
+            if opened.get(tag, 0):
+                node = at
+                while node.tag != tag:
+                    node = node.up
+                at = leave(node)
             continue
+        alone = rest.endswith("/")
         if tag in RAW:
-            if not m.group(3).endswith("/"):
+            if not alone:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, last)
-                last = stop.end() if stop else end
+                last = seen = stop.end() if stop else end
             continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            at = _implied(at, tag)
-        node = Node(tag, " ".join(_NAMES.findall(m.group(3))) if m.group(3) else "", at)
+        for shut in _SHUTS.get(tag, ()):
+            if at.scope.inside.get(shut, 0):
+                node = at
+                while node.tag != shut:
+                    node = node.up
+                at = leave(node)
+                break
+        node = Node(tag, " ".join(_NAMES.findall(rest)) if rest else "", at)
         at.kids.append(node)
-        if tag not in VOID and not m.group(3).endswith("/"):
+        if tag not in VOID and not alone:
             at = node
+            opened[tag] = opened.get(tag, 0) + 1
+            if node.scope is not node:
+                node.scope.inside[tag] = node.scope.inside.get(tag, 0) + 1
     if last < end:
         at.kids.append(page[last:])
     return root
 
 
-def _implied(at: Node, tag: str) -> Node:
-    """Where an element goes whose start tag ends an open one."""
-    shut = {"p"} if tag in CLOSES_P else {tag} if tag in ("li", "tr", "option") else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"}
-    node = at
-    while node is not None and node.tag not in ("table", "ul", "ol", "dl", "div", "article", "section", "body", "#root") or node is at and node.tag in shut:
-        if node.tag in shut:
-            return node.up or node
-        node = node.up
-        if node is None:
-            break
-    return at
+#: Open elements that a start tag closes, in its scope.
+_SHUTS = {t: ("p",) for t in CLOSES_P} | {t: (t,) for t in ("li", "tr", "option")} | {t: ("dt", "dd") for t in ("dt", "dd")} | {t: ("td", "th") for t in ("td", "th")}
 
 
 def _measure(root: Node) -> list[Node]:
-    """All elements in page order, each with its text length and length in links."""
+    """All elements in page order, each with its text length, length in links, commas, and whether boilerplate holds it."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
+        own = node.tag in BOILER or bool(node.names and BAD.search(node.names) and not GOOD.search(node.names))
+        node.boiler = own or (node.up is not None and node.up.boiler)
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
     for node in reversed(order):
-        size = linked = 0
+        size = linked = commas = 0
         for k in node.kids:
             if isinstance(k, str):
+                k = html.unescape(k) if "&" in k else k
                 size += len(_BLANK.sub(" ", k).strip())
-            elif k.tag not in ("head", "title"):
+                commas += k.count(",")
+            elif k.tag not in SILENT:
                 size += k.text
                 linked += k.linked
-        node.text, node.linked = size, size if node.tag == "a" else linked
+                commas += k.commas
+        node.text, node.linked, node.commas = size, size if node.tag == "a" else linked, commas
     return order
 
 
@@ -118,7 +190,7 @@ def plain(node: Node) -> str:
         k = stack.pop()
         if isinstance(k, str):
             parts.append(_BLANK.sub(" ", k))
-        elif k is not None and k.tag not in ("head", "title", "button", "select"):
+        elif k is not None and k.tag not in SILENT:
             if k.tag in BREAKS:
                 parts.append("\n")
                 stack.append("\x00")
@@ -139,13 +211,12 @@ def _pass_points(order: list[Node], least: int) -> tuple[dict[int, Node], int]:
         own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
         if not (node.tag in BLOCKS or (node.tag in ("div", "section", "article") and own >= least)) or node.text < least:
             continue
-        if _within(node):
+        if node.boiler:
             continue
-        text = plain(node)
         blocks += 1
-        points = 1 + text.count(",") + min(3, len(text) // 100)
+        points = 1 + node.commas + min(3, node.text // 100)
         up, level = node.up, 0
-        while up is not None and level < 5:
+        while up is not None and level < LEVELS:
             if up.tag != "#root" or level == 0:
                 if id(up) not in scored:
                     scored[id(up)] = up
@@ -193,14 +264,6 @@ def _start(node: Node) -> float:
     return float(s)
 
 
-def _within(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in BOILER or (node.names and BAD.search(node.names) and not GOOD.search(node.names)):
-            return True
-        node = node.up
-    return False
-
-
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, score, blocks of each row of pages (page_id, url, html)."""
 
