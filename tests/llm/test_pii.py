@@ -102,3 +102,22 @@ def test_null_ids_and_repeated_rows(spark):
     got = pii.extracted(docs)
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 2]
     assert [r["text"].count("[EMAIL]") for r in pii.masked(docs).collect()] == [1] * 4
+
+
+def test_context_is_whole_words():
+    long_ = "k" * 300
+    ((*_, pats, _),) = pii.mentions(f"x {long_}  :\n 1234567 , {long_}")
+    assert pats[1:] == [f"left {long_} : _ 9{{7}}", f"right 9{{7}} _ {long_}"]
+    ((*_, pats, _),) = pii.mentions(f"{long_} ={' ' * 90}\"abc123456\" {long_}")
+    assert pats[1:] == [f'cue {long_} = " _ a9']
+    ((*_, pats, _),) = pii.mentions(f"12345678 {long_}")
+    assert pats[1:] == ["left ^ _ 9{8}", f"right 9{{8}} _ {long_}"]
+
+
+def test_contexts_are_linear():
+    import time
+
+    for part in ("a1b2c3d4,", "a1b2c3d4 ", "12345678" + "-" * 50, "x" * 3000 + " 12345678 "):
+        began = time.perf_counter()
+        assert sum(1 for _ in pii.mentions(part * (2_000_000 // len(part))))
+        assert time.perf_counter() - began < 15

@@ -2,7 +2,7 @@
 
 Candidate instances are identifier-like strings: runs with digits or '@', joined over blanks where they read as one number.  Each carries
 lexical patterns: its shape (characters collapsed to classes, with whether a check digit holds), and its shape class
-in context (the word before or after, or the quote or mark around it).  Seed entities, taken by strict validation or
+in context (the whole word before it with the marks between, and the marks or else the whole word behind it).  Seed entities, taken by strict validation or
 given as a table, start at confidence 1.  Then Spark scores the pattern-instance graph iteratively: a pattern is as confident as the
 share of its instances' mass that is confident, an instance as confident as its best patterns together.  Patterns of high
 confidence discover the identifiers that no validator knows.
@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "phone", "card", "secret")
 
 # one scan finds all candidates; what is one number in several groups is one candidate
 _CANDIDATE = re.compile(
-    r"(?<![^\W_])[\w.+-]*\w@\w[\w.-]*\w"  # something at something
+    r"(?<![\w.+-])[\w.+-]++(?<=\w)@\w[\w.-]*\w"  # something at something; a run without @ is looked at once
     r"|\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,4}(?!\w|\.\d)"  # international number
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
     r"|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"  # dotted quad
@@ -81,6 +81,33 @@ def seed_kind(s: str, left: str) -> str:
     return ""
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _around(text: str, a: int, b: int) -> tuple[str, str]:
+    """(the word before a with all that lies between, the marks right behind b or else the next word), however long.
+
+    A word lies next to two candidates at most, so that all contexts of a text together are linear in it.
+    """
+    i = a
+    while i and not _in_word(text[i - 1]):
+        i -= 1
+    while i and _in_word(text[i - 1]):
+        i -= 1
+    size, j = len(text), b
+    while j < size and not text[j].isspace() and not _in_word(text[j]):
+        j += 1
+    if j > b:
+        return text[i:a], text[b:j]
+    while j < size and not _in_word(text[j]):
+        j += 1
+    k = j
+    while k < size and _in_word(text[k]):
+        k += 1
+    return text[i:a], text[j:k].lower() or "$"
+
+
 def mentions(text: str):
     """(start, end, instance, patterns, seed kind) of each candidate in a text."""
     if not _HINT.search(text):
@@ -90,11 +117,9 @@ def mentions(text: str):
         s = m.group()
         if s.isalpha() or (s[0] == "_"):
             continue
-        left, right = text[max(0, a - 40) : a], text[b : b + 40]
-        words = left.split()
-        before = words[-1].lower() if words else "^"
-        cue = " ".join(w.lower() for w in words[-3:]) if left[-1:] in "\"'=:" and words else ""
-        after = right.split(None, 1)[0].lower() if right.split() else "$"
+        left, after = _around(text, a, b)
+        before = " ".join(left.split()).lower() or "^"
+        cue = before if left[-1:] in "\"'=:" and left else ""
         sh = shape(s)
         if sh.startswith(("hex", "9{")) or "check" in sh or "@" in sh:
             broad = sh
