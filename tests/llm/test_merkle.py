@@ -51,6 +51,8 @@ CASES = {
     "extra beyond the range": (BASE, [*BASE, (10**7, "u", "h"), (-5, "u", "h")]),
     "nulls": ([*BASE, (None, "u", None), (None, None, "x"), (5, None, "")], [*BASE, (None, "u", ""), (None, None, "x"), (5, "", "")]),
     "repeated": ([*BASE, BASE[4], BASE[4]], [*BASE, BASE[4]]),
+    "hot ids": ([*BASE, *[(6, "u", f"h{i % 50}") for i in range(400)], *[(None, "u", f"n{i}") for i in range(300)]], [*BASE, *[(6, "u", f"h{i % 50}") for i in range(7, 380)], *[(None, "u", f"n{i}") for i in range(20, 330)]]),
+    "copies lost": ([*BASE, *[(9, "u", "h")] * 70], [*BASE, *[(9, "u", "h")] * 20]),
     "empty replica": (BASE[:5], []),
     "empty both": ([], []),
     "empty base": ([], BASE[:2]),
@@ -73,3 +75,15 @@ def test_order_of_rows_does_not_matter(spark):
 def test_query_equals_sql(spark, duck):
     got = registry.op5_merkle_audit(spark, SF)
     assert rows_of_spark(got) == rows_of_duck(duck, registry.SQL["op5_merkle_audit"])
+
+
+def test_copies_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "_CHUNK", 7)
+    a, b = CASES["copies lost"]
+    assert sorted(map(tuple, merkle.audit(pages(spark, a), pages(spark, b)).collect()), key=str) == brute(a, b)
+
+
+def test_no_leaf_is_collected(spark):
+    """Rows of one leaf reach a task in partial sums."""
+    plan = merkle._leaves(merkle.records(pages(spark, BASE)))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
