@@ -31,7 +31,10 @@ def test_edits_equal_full_encoding(counter):
         tree.apply(edits)
         full = tt.TokenTree(counter, tree.text)
         assert tree.total == full.total and sum(tree.lengths, []) == sum(full.lengths, []), (text, edits)
-        assert tree.chars[1] == len(tree.text)
+        assert tree.chars[1] == len(tree.text) and tree.chars[tree.width :][: len(tree.lengths)] == list(map(sum, tree.lengths))
+        again = tt.TokenTree(counter, *(tree.state()[c] for c in ("text", "lengths", "counts", "blocks", "char_sums", "token_sums")))
+        again.edit(0, 0, "x ")
+        assert again.total == len(counter.encoding.encode_ordinary("x " + tree.text)) and again.chars[1] == len(again.text)
 
 
 def test_only_touched_regions_are_encoded(counter):
@@ -41,6 +44,31 @@ def test_only_touched_regions_are_encoded(counter):
     assert 0 < tree.encoded < 15 and tree.total == len(counter.encoding.encode_ordinary(tree.text))
 
 
+def test_many_edits_of_a_long_text_take_linear_time(counter):
+    import time
+
+    text = prose(8, 60_000)
+    edits = [(i, i + 1, "#") for i in range(0, len(text), 40)]
+    tree = tt.TokenTree(counter, text)
+    began = time.perf_counter()
+    assert tree.apply(edits) == len(edits) and time.perf_counter() - began < 5
+    assert tree.total == len(counter.encoding.encode_ordinary(tree.text))
+
+
+def test_long_insertions_are_split(counter):
+    tree = tt.TokenTree(counter, prose(5, 500))
+    tree.edit(100, 100, prose(6, 3000))
+    assert max(map(len, tree.lengths)) < 3 * tt.BLOCK and tree.total == len(counter.encoding.encode_ordinary(tree.text))
+
+
+def test_ties_do_not_hang_on_row_order(spark, counter):
+    docs = frame(spark, [(1, "hello big world"), (2, "hello big world")])
+    rows = [(1, 6, 6, "B ", None), (1, 6, 6, "A ", None), (1, 10, 15, "moon", None), (1, 10, 15, "earth", None), (2, 6, 6, "B ", 1), (2, 6, 6, "A ", 2), (2, 0, 5, "x", 9), (2, 0, 5, "y", 4)]
+    for order in (rows, rows[::-1]):
+        edits = spark.createDataFrame(order, "doc_id long, start int, end int, replacement string, seq long")
+        assert sorted(r["text"] for r in tt.apply_edits(tt.token_trees(docs), edits).collect()) == ["hello A B big earth", "y B A big world"]
+
+
 def test_overlaps_and_bounds(counter):
     tree = tt.TokenTree(counter, "one two three")
     assert tree.apply([(0, 3, "1"), (2, 6, "x"), (-5, 0, ""), (None, 3, "x"), (8, 99, None)]) >= 2
