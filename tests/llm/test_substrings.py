@@ -76,3 +76,18 @@ def test_edges(edge, none, spark):
     want = brute([(r["doc_id"], r["text"]) for r in edge.collect()])
     assert sorted(map(tuple, ss.repeated_spans(edge).collect())) == want and {d for d, *_ in want} >= {1, 2, 4, 9, 10}
     assert ss.repeated_spans(none).count() == 0 and ss.repeated_spans(none, max_sketch_bytes=0).count() == 0
+
+
+def test_sketch_as_a_table_lets_the_same_windows_pass(spark):
+    docs = frame(spark, [(i, prose(i % 7, 400 + i)) for i in range(20)] + rows())
+    a, b = (sorted(map(tuple, ss.candidate_windows(docs, max_sketch_bytes=m).distinct().collect()), key=str) for m in (ss.MAX_SKETCH_BYTES, 0))
+    assert a == b and a
+
+
+def test_long_texts_in_parts():
+    pw = Powers()
+    texts = pa.array(["ab cd\u00e9 " * 500, "", "x" * 3000 + " y", " ", "end"])
+    for _, data, off in slices(texts):
+        whole = words(data, off, PLAIN, pw)
+        for part in (7, 64, 1000, 2999):
+            assert all((x == y).all() for x, y in zip(whole, words(data, off, PLAIN, pw, part)))

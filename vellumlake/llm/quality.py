@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import free_name
-from .textvec import PLAIN, Powers, grams, inside, mix, slices, words
+from .textvec import PART, PLAIN, Powers, grams, inside, mix, slices, words
 
 TREES = 200
 SUBSAMPLE = 256
@@ -62,8 +62,11 @@ def _duplicates(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray,
 def statistics(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndarray, np.ndarray]:
     """(word counts, statistics: one line a row, columns STATS)."""
     rows = len(off) - 1
-    of = np.repeat(np.arange(rows), np.diff(off))
-    cls = np.bincount(of * 9 + _CLASS[data], minlength=rows * 9).reshape(rows, 9).astype(float)
+    if rows == 1:  # perhaps very long
+        cls = sum(np.bincount(_CLASS[data[i : i + PART]], minlength=9) for i in range(0, max(1, len(data)), PART)).reshape(1, 9).astype(float)
+    else:
+        of = np.repeat(np.arange(rows), np.diff(off))
+        cls = np.bincount(of * 9 + _CLASS[data], minlength=rows * 9).reshape(rows, 9).astype(float)
     h, starts, ends, first = words(data, off, PLAIN, pw)
     n = np.diff(first)
     wrow = np.repeat(np.arange(rows), n)
@@ -76,7 +79,7 @@ def statistics(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndarra
     at = np.flatnonzero(ok)
     _, again, _ = _duplicates(wrow[at], g[at], rows)
     # lines: a word that follows a line break begins one; its hash is that of its words
-    brk = np.concatenate([[0], np.cumsum(data == 10)])
+    brk = np.concatenate([np.zeros(1, np.int32), np.cumsum(data == 10, dtype=np.int32)])
     fresh = np.concatenate([[True], (wrow[1:] != wrow[:-1]) | (brk[starts[1:]] != brk[starts[:-1]])]) if len(h) else np.zeros(0, bool)
     begin = np.flatnonzero(fresh)
     if len(begin):

@@ -6,8 +6,9 @@ partition adds its anchors to a count-min sketch; the partial sketches are merge
 block.  Pass 2 reads the texts again and emits only windows around an anchor whose every cell counts two or more:
 the sketch never underestimates, so no repeated window is lost.  These windows are grouped exactly, by 128 bits.
 
-The merged sketch is broadcast only while it is smaller than `max_sketch_bytes`; beyond that the anchors
-themselves are grouped (a shuffle of about a sixteenth of the words), which gives the same windows.
+The merged sketch is broadcast, as bits, while it is smaller than `max_sketch_bytes`.  Beyond that it is a table of its cells, added up by the
+same partial sketches, and anchors meet it in joins, row by row of the sketch; the texts of those that are left are joined to their places.  Either way
+the same cells of the same width decide, so that the windows are the same.
 
 Defined cases: null and empty texts, and texts under `window` words, have no window; every occurrence counts,
 also in repeated rows and twice in one text; rows of null doc_id count towards repetition but are not reported; other
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .textvec import PLAIN, Powers, grams, inside, sliding, slices, words
 
 WINDOW = 50
@@ -145,8 +147,34 @@ def _second(bits, k: int, window: int, width: int, depth: int):
     return run
 
 
-def _anchor_rows(k: int):
-    """Beyond the sketch's limit: every anchor with its text's key."""
+def _cell_rows(k: int, width: int, depth: int):
+    """Rows (row, cell, n) of partial sketches, each of millions of anchors at most."""
+
+    def added(parts: list) -> pa.RecordBatch:
+        g, out = np.concatenate(parts), []
+        for row in range(depth):
+            at, n = np.unique(cells(g, row, width), return_counts=True)
+            out.append((np.full(len(at), row, np.int32), at, n.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["row", "cell", "n"])
+
+    def run(batches):
+        pw, parts, held = Powers(), [], 0
+        for batch in batches:
+            for _, data, off in slices(batch.column(0)):
+                h, _, _, first = words(data, off, PLAIN, pw)
+                parts.append(anchors(h, first, k, pw)[1])
+                held += len(parts[-1])
+                if held > 2_000_000:
+                    yield added(parts)
+                    parts, held = [], 0
+        if held:
+            yield added(parts)
+
+    return run
+
+
+def _anchor_rows(k: int, width: int, depth: int):
+    """Every anchor's cells, with its text's key and its place."""
 
     def run(batches):
         pw = Powers()
@@ -156,7 +184,8 @@ def _anchor_rows(k: int):
                 h, _, _, first = words(data, off, PLAIN, pw)
                 at, g = anchors(h, first, k, pw)
                 row = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(uid[i + row]), pa.array((at - first[row]).astype(np.int32))], ["g", "uid", "pos"])
+                cols = [pa.array(uid[i + row]), pa.array((at - first[row]).astype(np.int32)), *(pa.array(cells(g, r, width)) for r in range(depth))]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "pos", *(f"c{r}" for r in range(depth))])
 
     return run
 
@@ -171,7 +200,8 @@ def _from_places(k: int, window: int):
             places = batch.column(batch.schema.get_field_index("places")).to_pylist()
             for i, data, off in slices(batch.column(batch.schema.get_field_index("text"))):
                 h, _, _, first = words(data, off, PLAIN, pw)
-                a = np.concatenate([np.asarray(places[i + r], np.int64) + first[r] for r in range(len(off) - 1)])
+                a = [np.asarray(places[i + r], np.int64) + first[r] for r in range(len(off) - 1)]
+                a = np.concatenate([x[x < first[r + 1]] for r, x in enumerate(a)])  # texts of one key are nearly sure to be equal
                 at = _marked(a, first, len(h), k, window)
                 if len(at):
                     yield _emit(ids[i:], known[i:], h, first, at, window, pw)
@@ -198,9 +228,12 @@ def candidate_windows(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH,
         bits = spark.sparkContext.broadcast([bytes(t) for t in table])
         return docs.mapInArrow(_second(bits, k, window, width, depth), _WINDOWS)
     keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    found = keyed.select("uid", "text").mapInArrow(_anchor_rows(k), "g long, uid long, pos int")
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    places = found.join(often, "g", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("places"))
+    sketch = docs.select("text").mapInArrow(_cell_rows(k, width, depth), "row int, cell long, n long").groupBy("row", "cell").agg(F.sum("n").alias("n"))
+    often = written(sketch.where("n > 1").select("row", "cell"), "sketch-cells")
+    left = keyed.select("uid", "text").mapInArrow(_anchor_rows(k, width, depth), "uid long, pos int, " + ", ".join(f"c{r} long" for r in range(depth)))
+    for r in range(depth):
+        left = left.join(often.where(F.col("row") == r).select(F.col("cell").alias(f"c{r}")), f"c{r}", "left_semi").drop(f"c{r}")
+    places = left.groupBy("uid").agg(F.collect_set("pos").alias("places"))
     return keyed.join(places, "uid").select("doc_id", "text", "places").mapInArrow(_from_places(k, window), _WINDOWS)
 
 

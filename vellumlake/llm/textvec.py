@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+PART = 4 << 20
 _R, _Q1, _Q2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _M64 = (1 << 64) - 1
 
@@ -78,8 +79,32 @@ def slices(texts: pa.Array, most: int = 1 << 20):
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray, lut: np.ndarray, pw: Powers):
-    """(hashes, starts, ends, first): of all words in order; row r has words first[r]:first[r + 1]."""
+def words(data: np.ndarray, off: np.ndarray, lut: np.ndarray, pw: Powers, part: int = PART):
+    """(hashes, starts, ends, first): of all words in order; row r has words first[r]:first[r + 1].
+
+    Bytes are taken in parts of about `part`, cut between words, so that a very long text needs memory for its words only.
+    """
+    if len(data) <= part:
+        h, starts, ends = _words(data, off, lut, pw)
+        return h, starts, ends, np.searchsorted(starts, off)
+    got, a = [], 0
+    while a < len(data):
+        b = a + part
+        while b < len(data):
+            gap = np.flatnonzero(lut[data[b : b + part]] == 0)
+            b += gap[0] if len(gap) else part
+            if len(gap):
+                break
+        b = min(b, len(data))
+        rows = off[(off > a) & (off < b)]
+        h, starts, ends = _words(data[a:b], np.concatenate([[a], rows, [b]]) - a, lut, pw)
+        got.append((h, starts + a, ends + a))
+        a = b
+    h, starts, ends = (np.concatenate(x) for x in zip(*got))
+    return h, starts, ends, np.searchsorted(starts, off)
+
+
+def _words(data: np.ndarray, off: np.ndarray, lut: np.ndarray, pw: Powers):
     v = lut[data]
     n = len(v)
     keep = v != 0
@@ -99,7 +124,7 @@ def words(data: np.ndarray, off: np.ndarray, lut: np.ndarray, pw: Powers):
     c = np.zeros(n + 1, np.uint64)
     np.cumsum((v.astype(np.uint64) + np.uint64(1)) * p[:n], out=c[1:])
     h = mix((c[ends] - c[starts]) * q[starts])
-    return h, starts, ends, np.searchsorted(starts, off)
+    return h, starts, ends
 
 
 def grams(h: np.ndarray, k: int, pw: Powers, second: bool = False) -> np.ndarray:
