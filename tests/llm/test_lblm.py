@@ -189,3 +189,36 @@ def test_memory_equals_brute_force(spark):
             every = sum(n for e, u in enumerate(uses) if e != d for (k, _), n in u.items() if k == key)
             gain += np.log((both + 2 * np.exp(lp[i + 3])) / (every + 2)) - lp[i + 3]
         assert got.log_prob[d] - got.model_log_prob[d] == pytest.approx(gain, abs=1e-2)
+
+
+def test_defaults_remember_every_triple(spark):
+    """Each text's first half is another's too, so by the defaults each row's uses are its words but three, and its gain that of all its triples."""
+    rng = np.random.default_rng(11)
+    names = [f"w{i}" for i in range(500)]
+    halves = [" ".join(rng.choice(names, 8)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, halves[i // 2] + " " + " ".join(rng.choice(names, 8))) for i in range(40)], "doc_id long, text string")
+    m = lblm.train(docs)
+    got, all_ = (x.toPandas().set_index("doc_id").sort_index() for x in (lblm.scores(docs, m), lblm.scores(docs, m, every=1)))
+    assert (got.memory_gain > 0).all() and np.allclose(got.log_prob, all_.log_prob, atol=1e-9)
+    assert np.allclose((got.log_prob - got.model_log_prob) / got.memory_gain, 13, atol=1e-6)
+
+
+def test_memory_is_the_same_in_any_chunks_and_buckets(spark, edge, monkeypatch):
+    more = spark.createDataFrame([(100 + i, "spam ham eggs " * 50 + f"end{i % 3}") for i in range(30)], "doc_id long, text string")
+    docs = edge.select("doc_id", "text").union(more).repartition(2).localCheckpoint()
+    m = lblm.train(docs)
+    rows = lambda: sorted(map(repr, lblm.scores(docs, m).collect()))
+    want = rows()
+    monkeypatch.setattr(lblm, "_HELD", 400)
+    assert len(want) == docs.count() and rows() == want
+
+
+@pytest.mark.parametrize("most", [1, 2, 50, 2**63, 2**64 - 1])
+def test_order_is_stable_and_blocks_are_read_as_packed(most):
+    rng = np.random.default_rng(4)
+    k = rng.integers(0, most, 3000, np.uint64, endpoint=True)
+    k[::7] = k[0]
+    k[1::7] = k[1::7] >> np.uint64(60) | k[0] & ~np.uint64(15)  # differ in their last bits only
+    for x in (k, k[:1], k[:0]):
+        assert lblm._order(x).tolist() == np.argsort(x, kind="stable").tolist()
+        assert [y.tolist() for y in lblm._unpack(lblm._pack(x, x >> np.uint64(40)))] == [x.tolist(), (x >> np.uint64(40)).tolist()]

@@ -11,19 +11,21 @@ texts from the same start, and the changes of each row of parameters are average
 result depends on how the table is split into partitions, as any averaged training does.  For scoring, batched matrix products give every
 context its normaliser over the first level, and over the siblings of a word's subclass and outcome, so probabilities are exactly normalised.
 
-The corpus's memory: after one in `EVERY` triples of words, chosen by hash, the outcomes that follow it in *other* documents are counted, in all
-of the corpus, and the model is the prior of that count: P = (count + MU p) / (all + MU), which is normalised too.  What is gathered for it grows
-with the corpus, and documents that occur elsewhere are scored apart.
+The corpus's memory: after every triple of words, the outcomes that follow it in *other* documents are counted, in all of the corpus, and the
+model is the prior of that count: P = (count + MU p) / (all + MU), which is normalised too.  (A caller may ask for one in `every` triples only, chosen
+by hash.)  What is gathered for it grows with the corpus, and documents that occur elsewhere are scored apart.  Triples are sent in packed blocks to
+buckets, ranges of their hashes of about _HELD triples, where all uses of a triple meet: some 60 bytes for each document that holds it.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters.
 
-Defined cases: null, empty and wordless texts have 0 tokens, a null mean, perplexity and unknown share, and train nothing; texts without a chosen triple
-have a null memory gain; repeated rows train and score each, and are each other's memory; ties in the vocabulary go to the smaller hash; a
+Defined cases: null, empty and wordless texts have 0 tokens, a null mean, perplexity and unknown share, and train nothing; texts without a triple that a word
+follows have a null memory gain; repeated rows train and score each, and are each other's memory; ties in the vocabulary go to the smaller hash; a
 corpus without words gives the start parameters; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import gc
 import pickle
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, written
+from .scratch import cut
 from .textvec import NORM, Powers, grams, inside, slices, words
 
 SHARE = 5e-7
@@ -49,11 +51,13 @@ BIAS = 0.1  # of the rate: biases start at the unigram distribution
 START = 1e-8  # of Adagrad's sums
 ROUNDS = 2
 SEED = 3
-EVERY = 16
+EVERY = 1  # all triples
 MU = 1.0
 _SPELT = 256  # outcomes of words outside the vocabulary
 _ROWS, _FAN = 4096, 128
 _GRID = 1 << 20  # so that sums are exact, wherever in a column a text stands
+_FINE = 1 << 12  # of log-probabilities that are sent
+_HELD = 1 << 21  # words of a chunk of texts, and about those of a bucket of triples
 
 
 class Model:
@@ -68,6 +72,7 @@ class Model:
         self.order = np.argsort(hashes).astype(np.int32)
         self.sorted = hashes[self.order]
         self.words = len(hashes)
+        self.uses = int(counts.sum())
         self.size = self.words + _SPELT
         self.head = min(head, self.size)
         tail = self.size - self.head
@@ -401,6 +406,12 @@ def _average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([got], columns=["kind", "block", "fan", "rows", "weights", "data"])
 
 
+def _release(docs: DataFrame) -> None:
+    """Let Spark remove the shuffles that nothing refers to, so that a round's don't lie beside the next one's; it does so when the driver collects garbage."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def train(docs: DataFrame, share: float = SHARE, width: int = WIDTH, rounds: int = ROUNDS, passes: int = 1, batch_words: int = BATCH, seed: int = SEED, least: int = LEAST, head: int = HEAD) -> Model:
     """A model of all of docs; each partition goes over its texts `passes` times, in batches of `batch_words` words."""
     model = Model(*vocabulary(docs, share, least), width, seed, head)
@@ -418,78 +429,196 @@ def train(docs: DataFrame, share: float = SHARE, width: int = WIDTH, rounds: int
                 model.b[at] += data[:, -1]
             else:
                 getattr(model, r["kind"])[at] += data
+        shared.destroy()
+        local = None
+        _release(docs)
     return model
 
 
-def _memory(h: np.ndarray, ids: np.ndarray, first: np.ndarray, lp: np.ndarray, every: int, pw: Powers):
-    """Chosen triples that a word follows, by row: (row, triple's hash, outcome, its count in the row, the triple's, its log-probability)."""
+def _order(k: np.ndarray) -> np.ndarray:
+    """A stable order of uint64 values, from a sort of their leading bits with places below, faster than argsort; ties of these bits are put right."""
+    if len(k) < 2:
+        return np.arange(len(k))
+    bits = np.uint64(len(k).bit_length())
+    x = k - k.min()
+    x <<= np.uint64(min(63, 64 - int(x.max()).bit_length()))
+    x >>= bits
+    x <<= bits
+    x |= np.arange(len(k), dtype=np.uint64)
+    x.sort()
+    order = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    x >>= bits
+    got = k[order]
+    wrong = np.unique(x[1:][got[1:] < got[:-1]])
+    for i, j in zip(np.searchsorted(x, wrong).tolist(), np.searchsorted(x, wrong, "right").tolist()):
+        order[i:j] = order[i:j][np.argsort(got[i:j], kind="stable")]
+    return order
+
+
+def _new(*sorted_: np.ndarray) -> np.ndarray:
+    """Whether a tuple of values differs from the one before."""
+    out = np.ones(len(sorted_[0]), bool)
+    out[1:] = sorted_[0][1:] != sorted_[0][:-1]
+    for x in sorted_[1:]:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Equally long arrays of non-negative integers, byte by byte, as high bytes compress; without the leading bytes that are 0 in all."""
+    out = []
+    for x in arrays:
+        x = np.ascontiguousarray(x, "<u8")
+        wide = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        out.append(x.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes())
+    whole = b"".join(out)
+    return pickle.dumps((len(arrays[0]), [len(x) for x in out], pa.Codec("zstd", compression_level=1).compress(whole, asbytes=True)))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n, sizes, whole = pickle.loads(data)
+    whole, at, out = np.frombuffer(pa.Codec("zstd").decompress(whole, sum(sizes)), np.uint8), 0, []
+    for size in sizes:
+        full = np.zeros((n, 8), np.uint8)
+        if size:
+            full[:, : size // n] = whole[at : at + size].reshape(-1, n).T
+        at += size
+        out.append(full.view("<u8").ravel())
+    return out
+
+
+def _triples(h: np.ndarray, ids: np.ndarray, first: np.ndarray, lp: np.ndarray, every: int, pw: Powers):
+    """Triples that a word follows, one in `every` of them: (row, triple's hash, outcome, its log-probability in negative steps of 1 / _FINE)."""
     g = grams(h, 3, pw)
-    at = np.flatnonzero(inside(first, 4, len(h)) & (g[: max(0, len(h) - 3)] % np.uint64(every) == 0)) if len(h) > 3 else np.zeros(0, np.int64)
-    row, key, out, p = np.searchsorted(first, at, "right") - 1, g[at], ids[at + 3], lp[at + 3]
-    order = np.lexsort((out, key, row))
-    row, key, out, p = row[order], key[order], out[order], p[order]
-    ctx = (np.diff(row, prepend=-1) != 0) | (np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool))
-    pair = ctx | (np.diff(out, prepend=-1) != 0)
-    begin = np.flatnonzero(pair)
-    n = np.diff(begin, append=len(pair))
-    of = np.cumsum(ctx) - 1
-    total = np.bincount(of, minlength=1)[of[begin]] if len(begin) else n
-    return row[begin], key[begin], out[begin], n, total, p[begin]
+    ok = inside(first, 4, len(h)) if len(h) > 3 else np.zeros(0, bool)
+    if every > 1:
+        ok &= g[: len(ok)] % np.uint64(every) == 0
+    at = np.flatnonzero(ok)
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.uint32), np.diff(first))[at]
+    return row, g[at], ids[at + 3].astype(np.uint32), np.rint(np.maximum(-lp[at + 3], 0) * _FINE).astype(np.uint32)
+
+
+_SENT = "bucket long, chunk long, data binary"
+
+
+def _sent(*rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "data"])
 
 
-_FOUND = "doc_id long, tokens int, log_prob double, unknown int, uses int, keys array<long>, outs array<int>, counts array<int>, totals array<int>, lps array<float>"
+def _chunk(name: int, found: list, buckets: int):
+    """What is sent of a chunk of texts: a bucket of its own (below 0) with its rows, and its triples by ranges of their hashes."""
+    doc_id, tokens, lps, unknown, *_ = zip(*found)
+    base = np.cumsum([0, *map(len, tokens)])
+    row, key, out, lp = (np.concatenate([f[k] + base[i].astype(np.uint32) if k == 4 else f[k] for i, f in enumerate(found)]) for k in range(4, 8))
+    yield _sent((-1 - name, name, pickle.dumps((pa.concat_arrays(doc_id), *map(np.concatenate, (tokens, lps, unknown)), np.bincount(row, minlength=base[-1])))))
+    order = _order(key)
+    row, key, out, lp = row[order], key[order], out[order], lp[order]
+    begin = np.flatnonzero(_new(key, row, out))  # repeated lines send one
+    n = np.diff(begin, append=len(key)) - 1
+    row, key, out, lp = row[begin], key[begin], out[begin], lp[begin]
+    bucket = ((key >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+    edge = np.flatnonzero(_new(bucket))
+    for i, j in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist()):
+        yield _sent((int(bucket[i]), name, _pack(np.diff(key[i:j], prepend=np.uint64(0)), row[i:j], out[i:j], lp[i:j], n[i:j])))
 
 
-def _scored(shared, every: int):
+def _scored(shared, every: int, buckets: int):
     def run(batches):
-        model = pickle.loads(shared.value)
-        pw, spelling = Powers(), model.spelling()
+        from pyspark import TaskContext
+
+        model, name = pickle.loads(shared.value), TaskContext.get().partitionId() << 32
+        pw, spelling, found, held = Powers(), model.spelling(), [], 0
         for batch in batches:
             for i, data, off in slices(batch.column(1), 2 << 20):
                 h, ids, starts, ends, first = _ids(model, data, off, pw)
                 lp = log_probs(model, ids, first).astype(float)
-                row, key, out, n, total, p = _memory(h, ids, first, lp, every, pw)
+                triples = _triples(h, ids, first, lp, every, pw)
                 rare = ids >= model.words
                 if rare.any():
                     codes, begin = _spelt(NORM[data], starts[rare], ends[rare])
                     lp[rare] += np.add.reduceat(spelling[codes], begin)
                 c = np.concatenate([[0.0], np.cumsum(np.rint(lp * _GRID) / _GRID)])
                 u = np.concatenate([[0], np.cumsum(rare)])
-                rows = len(first) - 1
-                lists = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
-                of = lambda x, t: pa.ListArray.from_arrays(pa.array(lists), pa.array(x.astype(t)))
-                cols = [batch.column(0).slice(i, rows), pa.array(np.diff(first).astype(np.int32)), pa.array(c[first[1:]] - c[first[:-1]]), pa.array((u[first[1:]] - u[first[:-1]]).astype(np.int32))]
-                cols += [pa.array(np.bincount(row, n, rows).astype(np.int32)), of(key.view(np.int64), np.int64), of(out, np.int32), of(n, np.int32), of(total, np.int32), of(p, np.float32)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tokens", "log_prob", "unknown", "uses", "keys", "outs", "counts", "totals", "lps"])
+                found.append((batch.column(0).slice(i, len(first) - 1), np.diff(first), c[first[1:]] - c[first[:-1]], u[first[1:]] - u[first[:-1]], *triples))
+                held += len(ids) + len(first)
+                if held > _HELD:
+                    yield from _chunk(name, found, buckets)
+                    name, found, held = name + 1, [], 0
+        if found:
+            yield from _chunk(name, found, buckets)
 
     return run
 
 
-def _gains(found: DataFrame, mu: float) -> DataFrame:
-    """(uid, gain): what the memory of other documents adds to each document's log-probability.
+def _met(mu: float):
+    """Of one bucket: what other rows' uses of its triples add to each row, summed by chunk.  Exact: all uses of a triple are in one bucket."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table
+        chunks, parts = table.column("chunk").to_numpy(), [_unpack(x) for x in table.column("data").to_pylist()]
+        of = np.argsort(chunks)
+        h = np.concatenate([np.cumsum(parts[i][0]) for i in of])
+        order = _order(h)
+        new = _new(h[order])
+        again = ~new
+        again[:-1] |= ~new[1:]
+        order = order[again]  # of triples with several entries only
+        doc = np.concatenate([parts[i][1] + np.uint64(k << 32) for k, i in enumerate(of)])[order]
+        out, lp, n = (np.concatenate([parts[i][k] for i in of])[order] for k in (2, 3, 4))
+        n = n.astype(np.int64) + 1
+        new = new[again]
+        triple = np.cumsum(new) - 1
+        own = _new(triple, doc)  # rows of a triple are in order, as chunks and places in them are
+        several = np.bincount(triple[own]) > 1
+        total = np.bincount(triple, n).astype(np.int64)[triple] - np.bincount(np.cumsum(own) - 1, n).astype(np.int64)[np.cumsum(own) - 1]
+        keep = several[triple]
+        triple, doc, out, lp, n, total = (x[keep] for x in (triple, doc, out, lp, n, total))
+        if not len(n):
+            return table.slice(0, 0)
+        pair = triple.astype(np.uint64) << np.uint64(32) | out
+        order = _order(pair)
+        pair, doc, lp, n, total = (x[order] for x in (pair, doc, lp, n, total))
+        same, mine = np.cumsum(_new(pair)) - 1, np.cumsum(_new(pair, doc)) - 1
+        both = np.bincount(same, n)[same] - np.bincount(mine, n)[mine]
+        lp = lp.astype(float) / -_FINE
+        gain = np.rint(n * (np.log(both + mu * np.exp(lp)) - np.log(total + mu) - lp) * _GRID)
+        order = _order(doc)
+        doc = doc[order]
+        begin = np.flatnonzero(_new(doc))
+        gain = np.add.reduceat(gain[order], begin).astype(np.int64)
+        doc, gain = doc[begin], (gain << 1 ^ gain >> 63).view(np.uint64)
+        edge = np.flatnonzero(_new(doc >> np.uint64(32)))
+        ends = np.append(edge[1:], len(doc)).tolist()
+        return pa.Table.from_batches([_sent(*((0, int(chunks[of[int(doc[i]) >> 32]]), _pack(doc[i:j] & np.uint64((1 << 32) - 1), gain[i:j])) for i, j in zip(edge.tolist(), ends)))])
 
-    Triples of one document only add nothing; counts are partial aggregates, so no triple's uses meet in one task.
-    """
-    x = found.select("uid", F.explode(F.arrays_zip("keys", "outs", "counts", "totals", "lps")).alias("x")).select("uid", "x.*")
-    often = x.groupBy("keys").agg(F.sum("counts").alias("all"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
-    x = x.join(often.where("lo < hi").select("keys", "all"), "keys")
-    pairs = x.groupBy("keys", "outs").agg(F.sum("counts").alias("both"))
-    x = x.join(pairs, ["keys", "outs"])
-    p = F.exp(F.col("lps").cast("double"))
-    new = F.log(((F.col("both") - F.col("counts")) + mu * p) / ((F.col("all") - F.col("totals")) + F.lit(mu)))
-    return x.groupBy("uid").agg(F.sum(F.col("counts") * (new - F.col("lps"))).alias("gain"))
+    return run
+
+
+def _settled(key: tuple, table: pa.Table) -> pa.Table:
+    """The rows of a chunk with what the buckets add to them."""
+    data, bucket = table.column("data").to_pylist(), table.column("bucket").to_numpy()
+    doc_id, tokens, lp, unknown, uses = pickle.loads(data[int(np.flatnonzero(bucket < 0)[0])])
+    gain = np.zeros(len(tokens))
+    for x, b in zip(data, bucket):
+        if b >= 0:
+            row, more = _unpack(x)
+            gain[row.astype(np.int64)] += (more >> np.uint64(1)).astype(np.int64) ^ -(more & np.uint64(1)).astype(np.int64)
+    return pa.table([doc_id.cast(pa.int64()), *(pa.array(x.astype(t)) for x, t in zip((tokens, lp, unknown, uses, gain / _GRID), (np.int32, float, np.int32, np.int32, float)))], ["doc_id", "tokens", "model_log_prob", "unknown", "uses", "gain"])
 
 
 def scores(docs: DataFrame, model: Model, every: int = EVERY, mu: float = MU) -> DataFrame:
     """One row a row of docs: doc_id, tokens, log_prob (natural, of all tokens, with the memory of other documents), mean_log_prob, perplexity, model_log_prob
-    (without the memory), unknown_share (of words outside the vocabulary) and memory_gain (mean log-probability that the memory adds after a chosen triple)."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    (without the memory), unknown_share (of words outside the vocabulary) and memory_gain (mean log-probability that the memory adds after a triple)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     slim = _lowered(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    found = written(slim.mapInArrow(_scored(shared, every), _FOUND).withColumn("uid", F.monotonically_increasing_id()), "lblm-scores")
-    rows = found.select("uid", "doc_id", "tokens", F.col("log_prob").alias("model_log_prob"), "unknown", "uses").join(_gains(found, mu), "uid", "left")
+    buckets = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.uses // _HELD))
+    sent = slim.mapInArrow(_scored(shared, every, buckets), _SENT)
+    rows = sent.groupBy("bucket").applyInArrow(_met(mu), _SENT).groupBy("chunk").applyInArrow(_settled, "doc_id long, tokens int, model_log_prob double, unknown int, uses int, gain double")
     some = lambda x: F.when(F.col("tokens") > 0, x)
-    total = F.col("model_log_prob") + F.coalesce("gain", F.lit(0.0))
+    total = F.col("model_log_prob") + F.col("gain")
     return rows.select(
         "doc_id", "tokens", total.alias("log_prob"), some(total / F.col("tokens")).alias("mean_log_prob"), some(F.exp(-total / F.col("tokens"))).alias("perplexity"), "model_log_prob",
-        some(F.col("unknown") / F.col("tokens")).alias("unknown_share"), F.when(F.col("uses") > 0, F.coalesce("gain", F.lit(0.0)) / F.col("uses")).alias("memory_gain"),
+        some(F.col("unknown") / F.col("tokens")).alias("unknown_share"), F.when(F.col("uses") > 0, F.col("gain") / F.col("uses")).alias("memory_gain"),
     )
