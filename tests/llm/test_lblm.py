@@ -222,3 +222,24 @@ def test_order_is_stable_and_blocks_are_read_as_packed(most):
     for x in (k, k[:1], k[:0]):
         assert lblm._order(x).tolist() == np.argsort(x, kind="stable").tolist()
         assert [y.tolist() for y in lblm._unpack(lblm._pack(x, x >> np.uint64(40)))] == [x.tolist(), (x >> np.uint64(40)).tolist()]
+
+
+def test_sums_of_runs_and_ids_and_normalisers_equal_the_plain_forms():
+    rng = np.random.default_rng(8)
+    for most in (2, 300, 5000):  # long, short and mostly single runs
+        at = np.sort(rng.integers(0, most, 2000))
+        x, begin = rng.random((2000, 5)), np.flatnonzero(np.diff(at, prepend=-1))
+        assert np.allclose(lblm._sums(x, begin), np.add.reduceat(x, begin, axis=0))
+    m = model()
+    near = m.sorted + np.uint64(1)  # in the same places of the table
+    assert m.ids(near, np.full(60, 7, np.uint8)).tolist() == [60 + 7] * 60
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    assert m.ids(ends, np.zeros(2, np.uint8)).tolist() == [60, 60]
+    crowd = lblm.Model(np.arange(50, dtype=np.uint64), np.ones(50 + 256), 4, 1)  # all with the same leading bits
+    assert crowd.ids(np.arange(52, dtype=np.uint64), np.full(52, 9, np.uint8)).tolist() == [*range(50), 59, 59]
+    for low, high in ((-3, 3), (-500, -400), (-500, 3), (90, 300), (-90, 300)):
+        s = rng.uniform(low, high, (40, 6))
+        s[:, 5] = -np.inf
+        s[:20, 0] = low
+        want = np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1)
+        assert np.allclose(lblm._lse(s.astype(np.float32)), want, rtol=1e-5, atol=1e-4)

@@ -71,6 +71,7 @@ class Model:
         """counts: of the words, then of the _SPELT last bytes."""
         self.order = np.argsort(hashes).astype(np.int32)
         self.sorted = hashes[self.order]
+        self.table = None
         self.words = len(hashes)
         self.uses = int(counts.sum())
         self.size = self.words + _SPELT
@@ -108,11 +109,24 @@ class Model:
 
     def ids(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Outcomes of words by their hash and last byte."""
-        other = self.words + last.astype(np.int32)
+        out = self.words + last.astype(np.int32)
         if not len(self.sorted):
-            return other
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], other).astype(np.int32)
+            return out
+        bits = max(1, self.words.bit_length())
+        if self.table is None:  # where hashes with each value of their leading bits begin: a search in few places, without a miss of the cache a step
+            begin = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            self.table = np.append(np.searchsorted(self.sorted, begin), self.words).astype(np.int32)
+        key = (h >> np.uint64(64 - bits)).astype(np.int64)
+        at, end = self.table.take(key), self.table.take(key + 1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.sorted.take(here) == h[left]
+            out[left[hit]] = self.order.take(here[hit])
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
     def stream(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all texts one after the other, each behind CONTEXT starts; the place of each word in it)."""
@@ -145,49 +159,56 @@ class Trainer:
         new += p.take(row, axis=0)
         p[row] = new
 
-    def _rows(self, at: np.ndarray, weights: np.ndarray, q: np.ndarray, b: np.ndarray) -> None:
-        """A step of target rows, with the gradients of equal rows summed."""
+    def _rows(self, at: np.ndarray, weights: np.ndarray, grad: np.ndarray) -> None:
+        """A step of target rows, with the gradients (of vectors, last of biases) of equal rows summed."""
         order = np.argsort(at, kind="stable")
         at = at[order]
-        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        begin = np.flatnonzero(_new(at))
         row = at[begin]
         self.used["q"][row] += np.add.reduceat(weights[order], begin)
-        self._step("q", row, np.add.reduceat(q.take(order, axis=0), begin, axis=0))
-        self._step("b", row, np.add.reduceat(b[order], begin))
-
-    def _level(self, base: int, x: np.ndarray, size: int, near: np.ndarray, hat: np.ndarray, n: int, noise=None):
-        """Items x, in order, against noise from their siblings (or the given noise): (rows, their weights, gradients, what goes back to hat)."""
-        m = self.m
-        begin = np.flatnonzero(np.diff(x, prepend=-1))
-        row = x[begin]
-        qt = m.q.take(base + x, axis=0)
-        gp = _pull(np.einsum("ij,ij->i", hat, qt) + (m.b[base + x] - self.log_noise[base + x]), n)
-        back = gp[:, None] * qt
-        pulled = np.add.reduceat(gp[:, None] * hat, begin, axis=0), np.add.reduceat(gp, begin)
+        grad = _sums(grad.take(order, axis=0), begin)
+        self._step("q", row, grad[:, :-1])
+        self._step("b", row, grad[:, -1])
+
+    def _level(self, base: int, x: np.ndarray, size: int, near: np.ndarray, one: np.ndarray, n: int, noise=None):
+        """Items x, in order, after predicted vectors (and a 1 behind each), against noise from their siblings (or the given noise): (rows, their weights, gradients, what goes
+        back to the vectors)."""
+        m, hat = self.m, one[:, :-1]
+        begin = np.flatnonzero(_new(x))
+        at = base + x
+        qt = m.q.take(at, axis=0)
+        gp = _pull(np.einsum("ij,ij->i", hat, qt) + (m.b.take(at) - self.log_noise.take(at)), n)[:, None]
+        qt *= gp
+        pulled = _sums(gp * one, begin)
         if noise is not None:
-            gn = _push(hat @ m.q[noise].T + (m.b[noise] - self.log_noise[noise]), n)
-            back += gn @ m.q[noise]
-            other, dq, db = noise, gn.T @ hat, gn.sum(0)
+            other, qn = noise, m.q.take(noise, axis=0)
+            gn = hat @ qn.T
+            gn += m.b[noise] - self.log_noise[noise]
+            gn = _push(gn, n)
+            qt += gn @ qn
+            pushed = gn.T @ one
         else:
             group = x // m.each
-            start = np.flatnonzero(np.diff(group, prepend=-1))
+            start = np.flatnonzero(_new(group))
             g = group[start]
             lo, hi = g * m.each, np.minimum((g + 1) * m.each, size) - 1
             low = np.where(lo > 0, near[lo - 1], 0)
             u = low[:, None] + np.sort(self.rng.random((len(g), NEAR)), axis=1) * (near[hi] - low)[:, None]  # neighbours in memory one after the other
             other = np.clip(np.searchsorted(near, u), lo[:, None], hi[:, None])
-            run = np.repeat(np.arange(len(g)), np.diff(start, append=len(x)))
-            dq, db = np.empty((len(g), NEAR, hat.shape[1]), np.float32), np.empty((len(g), NEAR), np.float32)
-            bias = m.b[base + other] - self.log_noise[base + other]
+            at = base + other
+            run = np.repeat(np.arange(len(g)), _lengths(start, len(x)))
+            qn = m.q.take(at, axis=0).take(run, axis=0)
+            gn = np.einsum("ij,ikj->ik", hat, qn)
+            gn += (m.b.take(at) - self.log_noise.take(at)).take(run, axis=0)
+            gn = _push(gn, n)[:, :, None]
+            qn *= gn
             for k in range(NEAR):
-                qn = m.q.take(base + other[:, k], axis=0).take(run, axis=0)
-                gn = _push(np.einsum("ij,ij->i", hat, qn) + bias[:, k].take(run), n)[:, None]
-                qn *= gn
-                back += qn
-                dq[:, k], db[:, k] = np.add.reduceat(gn * hat, start, axis=0), np.add.reduceat(gn[:, 0], start)
-            other, dq, db = other.ravel(), dq.reshape(-1, hat.shape[1]), db.ravel()
-        weights = np.concatenate([np.diff(begin, append=len(x)), np.ones(len(other))])
-        return base + np.concatenate([row, other]), weights, np.concatenate([pulled[0], dq]), np.concatenate([pulled[1], db]), back
+                qt += qn[:, k]
+            pushed = _sums((gn * one[:, None]).reshape(len(x), -1), start).reshape(-1, one.shape[1])
+            other = other.ravel()
+        weights = np.ones(len(begin) + len(other))
+        weights[: len(begin)] = _lengths(begin, len(x))
+        return base + np.concatenate([x[begin], other]), weights, np.concatenate([pulled, pushed]), qt
 
     def batch(self, s: np.ndarray) -> None:
         """A stretch of the stream: words from place CONTEXT on are targets, starts excepted."""
@@ -195,32 +216,33 @@ class Trainer:
         order = np.argsort(s, kind="stable")
         sorted_ = s[order]
         vec = m.r.take(s, axis=0)
-        hat = sum(vec[CONTEXT - 1 - j : len(s) - 1 - j] * m.c[j] for j in range(CONTEXT))
+        one = np.ones((len(s) - CONTEXT, vec.shape[1] + 1), vec.dtype)
+        one[:, :-1] = sum(vec[CONTEXT - 1 - j : len(s) - 1 - j] * m.c[j] for j in range(CONTEXT))
         mine = order[(sorted_ < m.size) & (order >= CONTEXT)]
         n = len(mine)
         if not n:
             return
-        target, h = s[mine], hat.take(mine - CONTEXT, axis=0)
+        target, h = s[mine], one.take(mine - CONTEXT, axis=0)
         drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), m.top - 1)
         parts = [self._level(0, m.outcomes(target), m.top, self.edges, h, n, drawn)]
-        dh = parts[0][4]
+        dh = parts[0][3]
         deep = int(np.searchsorted(target, m.head))
         if deep < n:
             for (base, x, size), near in zip(m.levels(target[deep:]), self.near):
                 parts.append(self._level(base, x, size, near, h[deep:], n))
-                dh[deep:] += parts[-1][4]
-        at, weights, q, b = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        back = np.zeros_like(hat)
+                dh[deep:] += parts[-1][3]
+        at, weights, grad = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        back = np.zeros((len(one), vec.shape[1]), vec.dtype)
         back[mine - CONTEXT] = dh
         dvec = np.zeros_like(vec)
         for j in range(CONTEXT):
             dvec[CONTEXT - 1 - j : len(s) - 1 - j] += back * m.c[j]
         dc = np.stack([np.einsum("ij,ij->j", back, vec[CONTEXT - 1 - j : len(s) - 1 - j]) for j in range(CONTEXT)])
-        self._rows(at, weights, q, b)
-        begin = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        self._rows(at, weights, grad)
+        begin = np.flatnonzero(_new(sorted_))
         row = sorted_[begin]
-        self.used["r"][row] += np.diff(begin, append=len(s))
-        self._step("r", row, np.add.reduceat(dvec.take(order, axis=0), begin, axis=0))
+        self.used["r"][row] += _lengths(begin, len(s))
+        self._step("r", row, _sums(dvec.take(order, axis=0), begin))
         self._step("c", np.arange(CONTEXT), dc)
 
     def texts(self, ids: np.ndarray, first: np.ndarray, batch_words: int) -> None:
@@ -231,6 +253,36 @@ class Trainer:
                 self.batch(s[i : i + batch_words + CONTEXT])
 
 
+def _new(*sorted_: np.ndarray) -> np.ndarray:
+    """Whether a tuple of values differs from the one before."""
+    out = np.ones(len(sorted_[0]), bool)
+    out[1:] = sorted_[0][1:] != sorted_[0][:-1]
+    for x in sorted_[1:]:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _lengths(begin: np.ndarray, n: int) -> np.ndarray:
+    """Of the runs of n values that begin there."""
+    out = np.empty(len(begin), np.int64)
+    out[:-1] = begin[1:] - begin[:-1]
+    out[-1:] = n - begin[-1:]
+    return out
+
+
+def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """add.reduceat along the first axis.  That takes its time for each column of each run, so runs of one row, if they are many, are taken as they are."""
+    n = _lengths(begin, len(x))
+    more = np.flatnonzero(n > 1)
+    if 2 * len(more) > len(begin):
+        return np.add.reduceat(x, begin, axis=0)
+    out, n = x.take(begin, axis=0), n[more]
+    if len(more):
+        first = np.cumsum(n) - n
+        out[more] = np.add.reduceat(x.take(np.arange(n.sum()) + np.repeat(begin[more] - first, n), axis=0), first, axis=0)
+    return out
+
+
 def _pull(score: np.ndarray, n: int) -> np.ndarray:
     """d loss / d score of true words."""
     np.exp(score, out=score)
@@ -263,10 +315,19 @@ def _spelt(v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
 
 
 def _lse(s: np.ndarray) -> np.ndarray:
-    top = s.max(1, keepdims=True)
-    s -= top
+    """log(sum(exp)) of each row; s is overwritten.  Rows are brought to their largest first only if single precision may not hold the sum."""
+    top = np.float32(0) if not s.size or s.max() < 60 else s.max(1, keepdims=True)
+    if top.ndim:
+        s -= top
+    else:
+        low = np.flatnonzero(s[:, 0] < -40)
+        low = low[s[low].max(1) < -40]
+        if len(low):
+            top = np.zeros((len(s), 1), np.float32)
+            top[low] = s[low].max(1, keepdims=True)
+            s -= top
     np.exp(s, out=s)
-    return np.log(s.sum(1)) + top[:, 0]
+    return np.log(s @ np.ones(s.shape[1], np.float32)) + (top[:, 0] if top.ndim else top)
 
 
 def log_probs(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -276,17 +337,21 @@ def log_probs(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     code = ctx[0].astype(np.int64)
     for x in ctx[1:]:
         code = code * (m.size + 1) + x
-    _, one, inv = np.unique(code, return_index=True, return_inverse=True)
-    hat = sum(m.r.take(ctx[j][one], axis=0) * m.c[j] for j in range(CONTEXT))  # of distinct contexts
+    order = _order(code.view(np.uint64))
+    new = _new(code[order])
+    one, inv = order[new], np.empty(len(ids), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    hat = np.ones((len(one), m.r.shape[1] + 1), m.r.dtype)  # of distinct contexts, with a 1 for the bias
+    hat[:, :-1] = sum(m.r.take(ctx[j][one], axis=0) * m.c[j] for j in range(CONTEXT))
     norm, step = np.empty(len(one), np.float32), max(1, (1 << 18) // m.top)
+    first_level = np.column_stack([m.q[: m.top], m.b[: m.top]]).T.copy()
     for i in range(0, len(one), step):
-        scores = hat[i : i + step] @ m.q[: m.top].T
-        scores += m.b[: m.top]
-        norm[i : i + step] = _lse(scores)
+        norm[i : i + step] = _lse(hat[i : i + step] @ first_level)
+    hat = hat[:, :-1].copy()
     out = m.outcomes(ids)
     lp = np.einsum("ij,ij->i", hat.take(inv, axis=0), m.q.take(out, axis=0)) + m.b[out] - norm[inv]
     deep = np.flatnonzero(ids >= m.head)
-    deep = deep[np.argsort(ids[deep], kind="stable")]
+    deep = deep[_order(ids[deep].astype(np.uint64))]
     h = hat.take(inv[deep], axis=0)
     for base, x, size in m.levels(ids[deep]):
         group = x // m.each
@@ -296,7 +361,7 @@ def log_probs(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         for k in range(0, len(x), 4096):
             own = group[k : k + 4096]
             scores = np.zeros((len(own), m.each), np.float32)
-            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            begin = np.flatnonzero(_new(own))
             for i, j, g in zip(begin.tolist(), np.append(begin[1:], len(own)).tolist(), own[begin].tolist()):
                 lo, hi = g * m.each, min((g + 1) * m.each, size)
                 scores[i:j, : hi - lo] = h[k + i : k + j] @ m.q[base + lo : base + hi].T
@@ -455,22 +520,13 @@ def _order(k: np.ndarray) -> np.ndarray:
     return order
 
 
-def _new(*sorted_: np.ndarray) -> np.ndarray:
-    """Whether a tuple of values differs from the one before."""
-    out = np.ones(len(sorted_[0]), bool)
-    out[1:] = sorted_[0][1:] != sorted_[0][:-1]
-    for x in sorted_[1:]:
-        out[1:] |= x[1:] != x[:-1]
-    return out
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Equally long arrays of non-negative integers, byte by byte, as high bytes compress; without the leading bytes that are 0 in all."""
     out = []
     for x in arrays:
         x = np.ascontiguousarray(x, "<u8")
         wide = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-        out.append(x.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes())
+        out.append(b"".join(x.view(np.uint8)[k::8].tobytes() for k in range(wide)))
     whole = b"".join(out)
     return pickle.dumps((len(arrays[0]), [len(x) for x in out], pa.Codec("zstd", compression_level=1).compress(whole, asbytes=True)))
 
@@ -480,8 +536,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     whole, at, out = np.frombuffer(pa.Codec("zstd").decompress(whole, sum(sizes)), np.uint8), 0, []
     for size in sizes:
         full = np.zeros((n, 8), np.uint8)
-        if size:
-            full[:, : size // n] = whole[at : at + size].reshape(-1, n).T
+        for k in range(size // n if size else 0):
+            full[:, k] = whole[at + k * n : at + (k + 1) * n]
         at += size
         out.append(full.view("<u8").ravel())
     return out
