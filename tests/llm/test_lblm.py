@@ -243,3 +243,9 @@ def test_sums_of_runs_and_ids_and_normalisers_equal_the_plain_forms():
         s[:20, 0] = low
         want = np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1)
         assert np.allclose(lblm._lse(s.astype(np.float32)), want, rtol=1e-5, atol=1e-4)
+
+
+def test_texts_are_scored_once_for_any_number_of_actions(spark, edge):
+    got = lblm.scores(edge, lblm.train(edge))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and got.count() == edge.count()

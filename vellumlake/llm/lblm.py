@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, written
 from .textvec import NORM, Powers, grams, inside, slices, words
 
 SHARE = 5e-7
@@ -671,7 +671,8 @@ def scores(docs: DataFrame, model: Model, every: int = EVERY, mu: float = MU) ->
     slim = _lowered(docs, F.col("doc_id").cast("long").alias("doc_id"))
     buckets = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.uses // _HELD))
     sent = slim.mapInArrow(_scored(shared, every, buckets), _SENT)
-    rows = sent.groupBy("bucket").applyInArrow(_met(mu), _SENT).groupBy("chunk").applyInArrow(_settled, "doc_id long, tokens int, model_log_prob double, unknown int, uses int, gain double")
+    met = written(sent.groupBy("bucket").applyInArrow(_met(mu), _SENT), "lblm-scores")  # a few bytes a document: no action scores again
+    rows = met.groupBy("chunk").applyInArrow(_settled, "doc_id long, tokens int, model_log_prob double, unknown int, uses int, gain double")
     some = lambda x: F.when(F.col("tokens") > 0, x)
     total = F.col("model_log_prob") + F.col("gain")
     return rows.select(
