@@ -181,3 +181,40 @@ def test_deltas_need_no_python(spark):
     from tests.conftest import SF
 
     assert python_nodes(delta_roundtrip(spark, SF)) == []
+
+
+def test_texts_are_read_where_they_lie_in_the_batch(spark):
+    """zstd_ratio, fnv1a32 and fnv1a64: a worker holds an Arrow batch of texts once, and no table as long as the longest text."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(2)
+    texts = [None, "", "É 漢字", "a", "".join(map(chr, r.choices(range(33, 127), k=60)))] + ["ab" * i for i in range(40)] + ["".join(r.choices("abc \n", k=3000)), "x" * 70_000, None]
+
+    def fnv(x, h, p, m):
+        for b in x.encode():
+            h = ((h ^ b) * p) & m
+        return h
+
+    def ratio(x):
+        return min(1.0, len(zstandard.ZstdCompressor(level=3).compress(x.encode())) / len(x.encode())) if x else 1.0
+
+    kinds = [(fn.zstd_ratio, ratio), (fn.fnv1a32, lambda x: fnv(x, 0x811C9DC5, 0x01000193, 2**32 - 1)), (fn.fnv1a64, lambda x: f"{fnv(x, 0xCBF29CE484222325, 0x100000001B3, 2**64 - 1):016x}")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    many = pa.array([t * 10_000 for t in ("lorem ipsum", "dolor sit  ")] * 200)  # 44 MB
+    for f, plain in kinds:
+        want = [None if t is None else plain(t) for t in texts]
+        assert [x.v for x in rows.select("i", f("t").alias("v")).orderBy("i").collect()] == want
+        for kind in (pa.string(), pa.large_string()):
+            assert f.func(pa.array(texts, kind)).to_pylist() == want
+            assert f.func(pa.array(["before", *texts, "after"], kind)[1:-1]).to_pylist() == want
+            assert f.func(pa.array([], kind)).to_pylist() == [] and f.func(pa.array([None, ""], kind)).to_pylist() == [None, plain("")]
+    tracemalloc.start()
+    for f, batch in ((fn.zstd_ratio, many), (fn.fnv1a32, pa.array(["x" * 1_000_000, "y"])), (fn.fnv1a64, many.slice(0, 20))):
+        tracemalloc.reset_peak()
+        f.func(batch)
+        assert tracemalloc.get_traced_memory()[1] < 500_000 + tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()

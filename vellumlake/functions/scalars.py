@@ -6,7 +6,7 @@ import sys
 from urllib.parse import parse_qs, unquote
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,41 +146,52 @@ def as_list(value: Column | str) -> Column:
     return F.when(F.ltrim(v).startswith("["), F.coalesce(items, many)).otherwise(F.array(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"), F.lit(""))))
 
 
-def _fnv1a(s: pd.Series, start: int, prime: int, kind: type) -> np.ndarray:
-    """FNV-1a of the UTF-8 bytes of every string, byte by byte over all strings that are so long; 0 for a null."""
-    raw = [b"" if x is None else x.encode() for x in s]
-    size = np.array([len(r) for r in raw], np.int64)
+def _utf8(s: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where every string's UTF-8 bytes begin, how many they are (0 of a null), the bytes as they lie in the Arrow batch, without a copy, and which are null."""
+    _, at, data = s.buffers()
+    kind = np.int64 if pa.types.is_large_string(s.type) else np.int32
+    ends = np.frombuffer(at, kind)[s.offset : s.offset + len(s) + 1].astype(np.int64) if len(s) else np.zeros(1, np.int64)
+    null = s.is_null().to_numpy(zero_copy_only=False)
+    return ends[:-1], np.where(null, 0, np.diff(ends)), np.frombuffer(data or b"", np.uint8), null
+
+
+def _fnv1a(s: pa.Array, start: int, prime: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """FNV-1a of the UTF-8 bytes of every string, byte by byte over all strings that are so long, and which are null."""
+    begin, size, data, null = _utf8(s)
     order = np.argsort(-size, kind="stable")
-    data, at = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(size) - size)[order]
-    h, prime = np.full(len(raw), start, kind), kind(prime)
-    longer = len(raw) - np.cumsum(np.bincount(size, minlength=1))  # strings of over j bytes
-    j = 0
-    while j < len(longer) and longer[j] >= 16:
-        n = longer[j]
+    at, sizes = begin[order], size[order].tolist()
+    h, prime = np.full(len(s), start, kind), kind(prime)
+    n, j = len(s), 0
+    while True:
+        while n and sizes[n - 1] <= j:
+            n -= 1  # strings of over j bytes
+        if n < 16:
+            break
         h[:n] = (h[:n] ^ data[at[:n] + j]) * prime
         j += 1
     mask, p = (1 << 8 * h.itemsize) - 1, int(prime)
-    for i in range(int(longer[j]) if j < len(longer) else 0):  # the few longest, one by one
+    for i in range(n):  # the few longest, one by one
         x = int(h[i])
-        for b in raw[order[i]][j:]:
+        for b in memoryview(data[at[i] + j : at[i] + sizes[i]]):
             x = ((x ^ b) * p) & mask
         h[i] = x
     out = np.empty_like(h)
     out[order] = h
-    return out
+    return out, null
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a32(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def fnv1a32(s: pa.Array) -> pa.Array:
     """Exact 32-bit FNV-1a of the UTF-8 bytes."""
-    return pd.Series(_fnv1a(s, 0x811C9DC5, 0x01000193, np.uint32).astype("int64")).astype("Int64").mask(s.isna().to_numpy())
+    h, null = _fnv1a(s, 0x811C9DC5, 0x01000193, np.uint32)
+    return pa.array(h.astype(np.int64), mask=null)
 
 
-@F.pandas_udf(T.StringType())
-def fnv1a64(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def fnv1a64(s: pa.Array) -> pa.Array:
     """Exact 64-bit FNV-1a in hexadecimal."""
-    h = _fnv1a(s, 0xCBF29CE484222325, 0x100000001B3, np.uint64)
-    return pd.Series([None if x is None else f"{y:016x}" for x, y in zip(s, h.tolist())], dtype=object)
+    h, null = _fnv1a(s, 0xCBF29CE484222325, 0x100000001B3, np.uint64)
+    return pa.array([None if no else f"{y:016x}" for no, y in zip(null, h.tolist())], pa.string())
 
 
 def _delta(old: bytes, new: bytes) -> bytes:
@@ -255,13 +266,17 @@ def delta_decode(old: Column | str, delta: Column | str) -> Column:
     return F.when(F.substr(d, F.lit(1), F.lit(1)) == F.lit(b"\x00"), rest(2)).otherwise(whole).cast("string")
 
 
-@F.pandas_udf(T.DoubleType())
-def zstd_ratio(content: pd.Series) -> pd.Series:
-    """Compressed by plain size with zstd; 1 where it doesn't shrink."""
+@F.arrow_udf(T.DoubleType())
+def zstd_ratio(content: pa.Array) -> pa.Array:
+    """Compressed by plain size with zstd; 1 where it doesn't shrink. Bytes are compressed where they lie in the Arrow batch."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=3)
-    return pd.Series([None if c is None else 1.0 if not c else min(1.0, len(z.compress(c.encode())) / len(c.encode())) for c in content])
+    begin, size, data, null = _utf8(content)
+    ratio = np.ones(len(content))
+    for i in np.flatnonzero(size):
+        ratio[i] = min(1.0, len(z.compress(data[begin[i] : begin[i] + size[i]])) / int(size[i]))
+    return pa.array(ratio, mask=null)
 
 
 def parse_uri(uri: str) -> dict:
